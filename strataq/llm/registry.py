@@ -9,6 +9,7 @@ ENTRIES = {
     "op1_mixing": ("mixing", "op1_mixing", None),
     "op2_audio": ("audio", "op2_audio", None),
     "op3_decontaminate": ("decontaminate", "op3_decontaminate", "OP3_SQL"),
+    "op4_quality": ("quality", "op4_quality", None),
     "op5_preferences": ("preferences", "op5_preferences", None),
     "op7_toxicity": ("toxicity", "op7_toxicity", None),
     "op8_url_filter": ("url_filter", "op8_url_filter", "OP8_SQL"),
