@@ -12,6 +12,7 @@ ENTRIES = {
     "op4_quality": ("quality", "op4_quality", None),
     "op5_preferences": ("preferences", "op5_preferences", None),
     "op7_toxicity": ("toxicity", "op7_toxicity", None),
+    "op9_pii": ("pii", "op9_pii", None),
     "op8_url_filter": ("url_filter", "op8_url_filter", "OP8_SQL"),
 }
 
