@@ -1,0 +1,42 @@
+"""Connected components of an edge table, by contraction.
+
+Each round points every node to the least of itself and its neighbours, follows
+the pointers twice, and replaces the end points of the edges; loops and repeats
+fall away, so the table shrinks to nothing in a number of rounds that grows with
+the logarithm of the longest path.  Counts per node are partial aggregates, so a
+node with many edges makes no large group; nothing reaches the driver but a flag.
+Every round is written to the shared folder, which cuts the lineage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Store
+
+
+def components(edges: DataFrame, store: Store) -> DataFrame:
+    """(a long, b long) edges to (node, label): the least node of its component.
+
+    Nodes without an edge to another node are not listed; null ends are ignored.
+    """
+    live = store.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    labels = None
+    while not live.isEmpty():
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = store.put(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
+        hop = up.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        up2 = up.join(hop, "to").select("node", F.col("next").alias("to"))
+        up2 = store.put(up2.join(hop, "to").select("node", F.col("next").alias("to")))
+        a, b = up2.select(F.col("node").alias("a"), F.col("to").alias("x")), up2.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        old = live
+        live = store.put(live.join(a, "a").join(b, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        if labels is None:
+            labels = up2.select("node", F.col("to").alias("label"))
+        else:
+            step = up2.select(F.col("node").alias("label"), F.col("to").alias("further"))
+            new = store.put(labels.join(step, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
+            labels = new
+        store.drop(old, up)
+    return labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -14,6 +14,7 @@ ENTRIES = {
     "op7_toxicity": ("toxicity", "op7_toxicity", None),
     "op9_pii": ("pii", "op9_pii", None),
     "op8_url_filter": ("url_filter", "op8_url_filter", "OP8_SQL"),
+    "op10_jaccard": ("jaccard", "op10_jaccard", None),
 }
 
 
