@@ -162,5 +162,23 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def taken_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` of which words are taken: all columns, and the mix's.
+
+    Rows are found again by their id and a digest of what is drawn by, so rows
+    that repeat an id exactly share one number of copies: the sum of what they got.
+    """
+    mixed = copies(sizes(docs), **options).where("copies > 0 AND size > 0")
+    mixed = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
+        F.first("source_size").alias("mix_source_size"), F.first("target").alias("mix_target"), F.sum("copies").cast("int").alias("mix_copies")
+    )
+    size = F.coalesce(F.regexp_count("text", F.lit(SPACED_RE)), F.lit(0)).cast("long")
+    known = docs.withColumn("mix_size", size)
+    match = known.doc_id.eqNullSafe(mixed._id) & known.source.eqNullSafe(mixed._source) & (known.mix_size == mixed._size)
+    return known.join(mixed.hint("shuffle_hash"), match).select(
+        *docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies", (F.col("mix_size") * F.col("mix_copies")).alias("mix_taken")
+    )
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))

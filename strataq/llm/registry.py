@@ -11,6 +11,7 @@ ENTRIES = {
     "op3_decontaminate": ("decontaminate", "op3_decontaminate", "OP3_SQL"),
     "op4_quality": ("quality", "op4_quality", None),
     "op5_preferences": ("preferences", "op5_preferences", None),
+    "op6_licenses": ("licenses", "op6_licenses", "OP6_SQL"),
     "op7_toxicity": ("toxicity", "op7_toxicity", None),
     "op9_pii": ("pii", "op9_pii", None),
     "op8_url_filter": ("url_filter", "op8_url_filter", "OP8_SQL"),
