@@ -1 +1,4 @@
+"""All queries on the driver's tables."""
 
+from . import quality  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
