@@ -1,4 +1,4 @@
 """All queries on the driver's tables."""
 
-from . import joins, quality  # noqa: F401
+from . import joins, quality, scoring  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
