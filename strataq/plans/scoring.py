@@ -48,11 +48,11 @@ def murphy_decomposition(t):
 @query(
     "crps",
     """WITH e AS (SELECT l_orderkey AS obs, l_quantity AS x, o_totalprice / 10000 AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS i, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-SELECT obs, round(sum(abs(x - y) / m - (2 * i - m - 1) * x / CAST(m * m AS DOUBLE)), 4) AS crps FROM e GROUP BY obs""",
+SELECT obs, round(sum(abs(x - y) / m - (2 * i - m - 1) * x / CAST(m * m AS DOUBLE)), 9) AS crps FROM e GROUP BY obs""",
 )
 def crps(t):
     e = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_orderkey").alias("obs"), F.col("l_quantity").alias("x"), (F.col("o_totalprice") / 10000).alias("y"))
-    return rounded(S.crps(e, "obs", "x", "y"), "crps", places=4)
+    return rounded(S.crps(e, "obs", "x", "y"), "crps", places=9)
 
 
 @query(
