@@ -1,4 +1,4 @@
 """All queries on the driver's tables."""
 
-from . import joins, quality, scoring, windows  # noqa: F401
+from . import functions, graphs, joins, quality, scoring, windows  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401

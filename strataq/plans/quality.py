@@ -90,9 +90,9 @@ def check_suite(t):
     return _rounded(C.run(t.lineitem, LINE_CHECKS).unionByName(C.run(t.orders, [PRICE_RISE])))
 
 
-@query("check_duplicate_time", "SELECT o_custkey, epoch(o_orderdate) AS at, count(*) AS n_rows FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1")
+@query("check_duplicate_time", "SELECT o_custkey, epoch(o_orderdate) AS moment, count(*) AS n_rows FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1")
 def check_duplicate_time(t):
-    return C.duplicate_times(t.orders.select("o_custkey", epoch("o_orderdate").alias("at")), ["o_custkey"], "at")
+    return C.duplicate_times(t.orders.select("o_custkey", epoch("o_orderdate").alias("moment")), ["o_custkey"], "moment")
 
 
 @query(
