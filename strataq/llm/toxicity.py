@@ -53,8 +53,8 @@ def features(text: str | None, known: frozenset | None = None) -> set[bytes]:
     return out if known is None else out & known
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = SEED) -> tuple[list[set], list[set], float]:
-    """Word sets of the positive and the unlabelled sample, and the class prior."""
+def training_texts(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = SEED) -> tuple[list[bytes], list[bytes], float]:
+    """Features (joined by spaces) of the positive and the unlabelled sample, and the class prior."""
     known = labels.select("doc_id", "toxic").where(fold() != 0).where("toxic IS NOT NULL")
     n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
@@ -64,9 +64,9 @@ def training_texts(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE
     picked = p.select("doc_id", F.lit(1).alias("side")).unionByName(u.select("doc_id", F.lit(0).alias("side")))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(_word_sets, "doc_id long, side int, words binary").collect()
     rows.sort(key=lambda r: (r.side, r.doc_id))
-    sides: tuple[list[set], list[set]] = ([], [])
+    sides: tuple[list[bytes], list[bytes]] = ([], [])
     for r in rows:
-        sides[r.side].append(set(bytes(r.words).split()))
+        sides[r.side].append(bytes(r.words))
     return sides[1], sides[0], (n_toxic / n if n else 0.0)
 
 
@@ -76,12 +76,12 @@ def _word_sets(batches):
 
 
 class Sparse:
-    """Rows of word indices; products by bincount, as no sparse library is at hand."""
+    """Rows of feature indices; products by bincount, as no sparse library is at hand."""
 
-    def __init__(self, sets: list[set], index: dict[bytes, int]):
-        ids = [[index[w] for w in s if w in index] for s in sets]
-        self.n, self.dims = len(sets), len(index)
-        self.cols = np.array([c for r in ids for c in r], np.int64)
+    def __init__(self, texts: list[bytes], index: dict[bytes, int]):
+        ids = [np.array([index[w] for w in t.split() if w in index], np.int32) for t in texts]
+        self.n, self.dims = len(texts), len(index)
+        self.cols = np.concatenate([*ids, np.zeros(0, np.int32)])
         self.rows = np.repeat(np.arange(self.n), [len(r) for r in ids])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -131,10 +131,10 @@ class Model:
         return 1 / (1 + float(np.exp(-max(-40.0, min(40.0, z)))))
 
 
-def fit(positive: list[set], unlabelled: list[set], prior: float, seed: int = SEED, least: int = 3) -> Model:
+def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, seed: int = SEED, least: int = 3) -> Model:
     if not positive or not unlabelled:
         return Model({}, -40.0)
-    df = Counter(w for s in positive for w in s)
+    df = Counter(w for t in positive for w in t.split())
     index = {w: i for i, w in enumerate(sorted(w for w, k in df.items() if k >= min(least, len(positive))))}
     order = np.random.default_rng(seed).permutation(len(unlabelled))
     halves = [x for x in (order[::2], order[1::2]) if len(x)]
