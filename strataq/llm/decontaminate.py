@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ def windows(text: str | None, width: int = WIDTH) -> set[bytes]:
 class Matcher:
     """The automaton over the windows of some items."""
 
-    _made: dict[int, "Matcher"] = {}
+    _made: dict[str, "Matcher"] = {}
 
     def __init__(self, items: list[tuple[int, str]], width: int = WIDTH):
         import ahocorasick
@@ -61,13 +62,12 @@ class Matcher:
             self.automaton.make_automaton()
 
     @classmethod
-    def of(cls, shared, width: int = WIDTH) -> "Matcher":
-        """One matcher for each broadcast and Python worker."""
-        key = hash((shared.id if hasattr(shared, "id") else id(shared), len(shared.value), width))
-        if key not in cls._made:
+    def of(cls, name: str, shared, width: int = WIDTH) -> "Matcher":
+        """One matcher for each named broadcast and Python worker."""
+        if name not in cls._made:
             cls._made.clear()
-            cls._made[key] = cls(shared.value, width)
-        return cls._made[key]
+            cls._made[name] = cls(shared.value, width)
+        return cls._made[name]
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
         """Number of words, hit ranges of words (end excluded) and items found."""
@@ -130,8 +130,10 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
 
 
 def _scanner(shared, width):
+    name = uuid.uuid4().hex
+
     def step(batches):
-        m = Matcher.of(shared, width)
+        m = Matcher.of(name, shared, width)
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf.doc_id, pdf.text):
@@ -143,8 +145,10 @@ def _scanner(shared, width):
 
 
 def _finder(shared, width):
+    name = uuid.uuid4().hex
+
     def step(batches):
-        m = Matcher.of(shared, width)
+        m = Matcher.of(name, shared, width)
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf.doc_id, pdf.text):
@@ -186,10 +190,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words
     parts = blocks(benchmark, block_words)
     block, after = next(parts), next(parts, None)
     if after is None:
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def step(batches):
-            m = Matcher.of(shared, width)
+            m = Matcher.of(name, shared, width)
             for pdf in batches:
                 yield pdf[[not verdict(*m.scan(t))[3] for t in pdf.text]]
 
