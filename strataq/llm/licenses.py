@@ -12,8 +12,8 @@ intersects the postings by relative position.  A template is found at a place
 if at least ``LEAST`` of its words stand where they should and one of its
 mandatory key phrases lies inside.  The score is the best share of words.
 
-The index is a literal of fixed size inside the expression.  Only texts with one
-of the anchor words are split for the method, and words are an array inside the
+The index is a literal of fixed size inside the expression.  Only texts that have
+every word of some phrase, as substrings, are split; words are an array inside the
 row: there is no shuffle, no Python, and a file of any length is one row.
 
 Cases: null and wordless texts have no words, null places, empty labels and
@@ -72,23 +72,24 @@ def scan(docs: DataFrame) -> DataFrame:
     texts = "array(" + ", ".join(_sql_array(TEMPLATES[n][0].split()) for n in names) + ")"
     keys = "array(" + ", ".join(_sql_array([f" {k} " for k in TEMPLATES[n][1]]) for n in names) + ")"
     labels = _sql_array([n.removesuffix("-text") for n in names])
-    low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
-    word = r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-    any_anchor = r"(?<![^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(" + "|".join(vocabulary) + r")(?![^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"
+    word, any_case = r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+    # a label needs a key phrase, and a phrase needs each of its words somewhere
+    phrases = sorted({k for _, found in TEMPLATES.values() for k in found} | set(BASE))
+    maybe = " OR ".join("(" + " AND ".join(f"contains(l, '{w}')" for w in sorted(set(k.split()), key=lambda w: (-len(w), w))) + ")" for k in phrases)
     steps = [
-        # words only where a phrase or an anchor may stand; elsewhere their number is enough
-        ["doc_id", f"{low} AS low"],
-        ["doc_id", "low", f"contains(low, 'license') AS base", f"low RLIKE '{any_anchor}' AS anchored"],
-        ["doc_id", "base", "anchored", f"CASE WHEN base OR anchored THEN regexp_extract_all(low, '({word})', 1) END AS w", f"CASE WHEN NOT (base OR anchored) THEN regexp_count(low, '{word}') END AS n"],
-        ["doc_id", "anchored", "w", "CAST(coalesce(n, size(w)) AS bigint) AS n_words",
-         "CASE WHEN base THEN flatten(transform(sequence(0, size(w) - 1), i -> CASE "
+        # words only where a phrase may stand; elsewhere their number is enough
+        ["doc_id", "coalesce(text, '') AS text", "lower(coalesce(text, '')) AS l"],
+        ["doc_id", "text", f"({maybe}) AS base"],
+        ["doc_id", "base", f"CASE WHEN base THEN regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '({word})', 1) END AS w", f"CASE WHEN NOT base THEN regexp_count(text, '{any_case}') END AS n"],
+        ["doc_id", "w", "CAST(coalesce(n, size(w)) AS bigint) AS n_words",
+         "CASE WHEN size(w) > 0 THEN flatten(transform(sequence(0, size(w) - 1), i -> CASE "
          "WHEN get(w, i) = 'mit' AND get(w, i + 1) = 'license' THEN array(named_struct('at', i, 'label', 'mit')) "
          "WHEN get(w, i) = 'apache' AND get(w, i + 1) = 'license' THEN array(named_struct('at', i, 'label', 'apache')) "
          "WHEN get(w, i) = 'general' AND get(w, i + 1) = 'public' AND get(w, i + 2) = 'license' THEN array(named_struct('at', i, 'label', 'gpl')) "
          "ELSE CAST(array() AS array<struct<at: int, label: string>>) END)) END AS b"],
         # occurrences of index words, then the highest ranks of them
         ["doc_id", "w", "n_words", "b",
-         f"CASE WHEN anchored THEN filter(transform(w, (x, i) -> named_struct('i', i, 'v', array_position({vocab}, x))), x -> x.v > 0) END AS hits"],
+         f"CASE WHEN size(w) > 0 THEN filter(transform(w, (x, i) -> named_struct('i', i, 'v', array_position({vocab}, x))), x -> x.v > 0) END AS hits"],
         ["doc_id", "w", "n_words", "b", "hits",
          f"slice(reverse(array_sort(transform(array_distinct(transform(hits, h -> h.v)), v -> named_struct('r', get({ranks}, CAST(v AS int) - 1), 'v', v)))), 1, {LOOKUPS}) AS best"],
         ["doc_id", "w", "n_words", "b",
