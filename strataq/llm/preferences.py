@@ -80,9 +80,11 @@ def pair_up(convs: DataFrame, bin_size: int = BIN) -> DataFrame:
     binned = (
         keyed.join(counts, "first", "left")
         .withColumn("bin", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("conv_id"), F.ceil(F.col("n") / bin_size))))
+        # one key of both, or the rows would stay where the join by first turn has put them
+        .withColumn("cell", F.concat_ws(":", "first", "bin"))
         .withColumn("side", F.struct((-voice).alias("less"), F.col("conv_id").alias("id"), F.col("turns")))
     )
-    bins = Window.partitionBy("first", "bin").orderBy(F.xxhash64("conv_id"), "conv_id")
+    bins = Window.partitionBy("cell").orderBy(F.xxhash64("conv_id"), "conv_id")
     paired = binned.select("side", F.lead("side").over(bins).alias("next"), F.row_number().over(bins).alias("k")).where("k % 2 = 1")
     swap = F.col("next").isNotNull() & (F.struct(F.col("next.less"), F.col("next.id")) < F.struct(F.col("side.less"), F.col("side.id")))
     return paired.select(
