@@ -9,13 +9,13 @@ character is a word byte.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Store, shared_dir  # noqa: F401
+
 ALNUM_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACED_RE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,49 +61,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tuned(spark: SparkSession) -> SparkSession:
     """Bounds what one Arrow batch holds, as a single text may have megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    It is set here only where it is unset (local sessions, as in tests).
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        root = spark.conf.get("strataq.local.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="strataq-")
-        spark.conf.set("strataq.local.dir", root)
-    return root.rstrip("/")
-
-
-class Store:
-    """Written tables of one run: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-
-    def put(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        kept = self.spark.read.schema(df.schema).parquet(path)
-        kept._strataq_path = path
-        return kept
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that nothing lazy reads any more."""
-        jvm = self.spark._jvm
-        for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._strataq_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def like_input(docs: DataFrame, step) -> DataFrame:
     """Rows of ``docs`` that ``step`` keeps or rewrites batch by batch, same columns."""
     return docs.mapInPandas(step, docs.schema)

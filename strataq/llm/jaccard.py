@@ -9,10 +9,15 @@ with equal sets are one *node*.  Two nodes link if ``100 * |A & B|`` is at least
    are counted, and at most ``COMMON`` of them are broadcast, the most frequent.
    Any order is right: it decides the work, not the result.
 2. Nodes that can link share an n-gram among the first ``|A| - ceil(t|A|) + 1``
-   of each in that order.  Nodes sharing one are chained to its first owner; the
-   chains' connected parts are the *clusters* of candidates.  An n-gram with many
-   owners is dealt out in parts that are linked among each other.
-3. A cluster of at most ``UNIT`` n-grams is one unit of work.  A larger one is cut
+   of each in that order.  Owners of one n-gram are sorted by size.  Up to
+   ``PAIRS`` owners are paired, unless sizes or the places of the n-gram in both
+   orders rule a pair out; what is left must also pass a bound by sketches: the
+   L1 distance of two histograms of hashed n-grams is at most the size of the
+   symmetric difference.  Of more owners, neighbours by size are chained while
+   their sizes are compatible, so compatible owners always end up connected.
+   The connected parts are the *clusters* of candidates.  An n-gram with very
+   many owners is dealt out in parts that are linked among each other.
+3. Clusters of at most ``UNIT`` n-grams share units of about that size.  A larger one is cut
    by size into bands as wide as the threshold allows, and bands into blocks; the
    units are the pairs of blocks of one band or of neighbouring bands, so every
    pair that can link meets exactly once, and no unit outgrows its bound.
@@ -39,14 +44,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import Store, spaced_words, table
-from .components import components
 
 N, PERCENT = 4, 85
 COMMON = 1 << 19  # n-grams whose frequency class is broadcast: 9 bytes each
-CHUNK = 1 << 22  # n-grams counted together inside a task
+CHUNK = 1 << 21  # n-grams counted together inside a task
 UNIT = 400_000  # n-grams of one unit of work
 HOT, PART = 1024, 512  # owners of an n-gram above which it is dealt out, and of one part
+PAIRS = 32  # owners of an n-gram that are paired; more are chained
+BROADCAST = 200_000  # rows of 28 bytes that say where a text is needed; more are joined by shuffle
 STEP = 16  # n-grams of one edge of the tree
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -60,7 +67,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 17:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -134,6 +141,23 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Histogram of the n-grams over a number of buckets that follows their number."""
+    buckets = 1 << min(14, max(6, (len(grams) // 8).bit_length()))
+    counts = np.bincount((grams >> np.uint64(40)).astype(np.int64) & (buckets - 1), minlength=buckets)
+    return b"" if counts.max(initial=0) > 255 else counts.astype(np.uint8).tobytes()
+
+
+def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int = PERCENT) -> bool:
+    """False only if the sketches show that the sets differ too much."""
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    k = min(len(x), len(y))
+    apart = np.abs(x.reshape(-1, k).sum(0) - y.reshape(-1, k).sum(0)).sum()
+    return apart * (100 + percent) <= (100 - percent) * (na + nb)
+
+
 def _prefixes(shared, n: int, percent: int):
     def step(batches):
         gram, level = (np.frombuffer(x, t) for x, t in zip(shared.value, (np.uint64, np.uint8)))
@@ -143,11 +167,11 @@ def _prefixes(shared, n: int, percent: int):
             for doc, text in zip(pdf.doc_id, pdf.text):
                 g = ngrams(text, n)
                 if not len(g):
-                    rows.append((doc, None, 0, None, None))
+                    rows.append((doc, None, 0, None, None, None, None))
                     continue
                 name = set_id(g)
                 if name in seen or pd.isna(doc):
-                    rows.append((doc, name, len(g), None, None))
+                    rows.append((doc, name, len(g), None, None, None, None))
                     continue
                 if len(seen) > 1 << 20:
                     seen.clear()
@@ -157,27 +181,79 @@ def _prefixes(shared, n: int, percent: int):
                     at = np.minimum(np.searchsorted(gram, g), len(gram) - 1)
                     of = np.where(gram[at] == g, level[at], 0).astype(np.uint8)
                 first = np.argsort(of, kind="stable")[: prefix_length(len(g), percent)]
-                hot = of[first] >= 4 * int(math.log2(HOT))
-                parts = (2.0 ** (of[first][hot] / 4.0) / PART).astype(np.int64)
-                rows.append((doc, name, len(g), g[first].view(np.int64), (g[first][hot].view(np.int64), parts)))
-            yield pd.DataFrame(
-                {
-                    "doc_id": pd.array([None if pd.isna(r[0]) else r[0] for r in rows], "Int64"),
-                    "node": pd.array([r[1] for r in rows], "Int64"),
-                    "n_shingles": [r[2] for r in rows],
-                    "grams": [None if r[3] is None else r[3][~np.isin(r[3], r[4][0])] for r in rows],
-                    "hot": [None if r[4] is None else r[4][0] for r in rows],
-                    "parts": [None if r[4] is None else r[4][1] for r in rows],
-                }
-            )
+                # the order is by level, so what is dealt out in parts comes last
+                cut = int(np.searchsorted(of[first], 4 * int(math.log2(HOT))))
+                parts = (2.0 ** (of[first[cut:]] / 4.0) / PART).astype(np.int64)
+                rows.append((doc, name, len(g), g[first[:cut]].view(np.int64), g[first[cut:]].view(np.int64), parts, sketch(g)))
+            out = dict(zip(("grams", "hot", "parts", "sketch"), ([r[k] for r in rows] for k in (3, 4, 5, 6))))
+            ids = {k: pd.array([None if pd.isna(r[i]) else r[i] for r in rows], "Int64") for i, k in enumerate(("doc_id", "node"))}
+            yield pd.DataFrame(ids | {"n_shingles": [r[2] for r in rows]} | out)
 
     return step
 
 
+NAMED = "doc_id long, node long, n_shingles long, grams array<long>, hot array<long>, parts array<long>, sketch binary"
+
+
+def _owners(percent: int):
+    """Rows sorted by (gram, size and place, node) to (a, b, sure): see step 2.
+
+    Only the last group of a batch is carried on; of one that grows beyond a
+    bound, its last row.
+    """
+
+    def links(gram, size, place, node, grown):
+        keep = np.ones(len(gram), bool)
+        keep[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
+        gram, size, place, node = gram[keep], size[keep], place[keep], node[keep]
+        start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        count = np.repeat(np.diff(np.append(start, len(gram))), np.diff(np.append(start, len(gram))))
+        few = count <= PAIRS
+        if grown:
+            few &= gram != gram[0]
+        found = []
+        for d in range(1, PAIRS):
+            if len(gram) <= d:
+                break
+            i = np.flatnonzero((gram[d:] == gram[:-d]) & (few[d:] | (d == 1)))
+            j = i + d
+            i, j = i[ok := 100 * size[i] >= percent * size[j]], j[ok]
+            most = np.minimum(place[i], place[j]) + 1 + np.minimum(size[i] - place[i] - 1, size[j] - place[j] - 1)
+            ok = ~few[i] | ((100 + percent) * most >= percent * (size[i] + size[j]))
+            found.append(np.stack([node[i], node[j], ~few[i]], 1)[ok])
+        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1], "sure": out[:, 2].astype(bool)})
+
+    def step(batches):
+        held, grown = None, False
+        for pdf in batches:
+            rows = pdf[["gram", "sized", "node"]].to_numpy()
+            rows = rows if held is None else np.concatenate([held, rows])
+            if not len(rows):
+                continue
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if last:
+                yield links(*_columns(rows[:last]), grown)
+                held, grown = rows[last:], False
+            else:
+                held = rows
+            if len(held) > 1 << 16:
+                yield links(*_columns(held), True)
+                held, grown = held[-1:], True
+        if held is not None:
+            yield links(*_columns(held), grown)
+
+    return step
+
+
+def _columns(rows: np.ndarray):
+    return rows[:, 0], rows[:, 1] >> 32, rows[:, 1] & 0xFFFFFFFF, rows[:, 2]
+
+
 def _chain(batches):
     """Rows sorted by (gram, part, node): each later node with the first of its group.
 
-    The first node of a part is named again with part -1 (see ``chains``).
+    The first node of a part comes out once more, with its gram and no partner.
     """
     last, anchor = None, None
     for pdf in batches:
@@ -196,18 +272,32 @@ def _chain(batches):
         yield pd.concat([pairs, again.astype({"b": "Int64"})]).astype({"gram": "int64", "a": "int64", "b": "Int64"})
 
 
-def chains(nodes: DataFrame, store: Store) -> DataFrame:
-    """(a, b): nodes that share an n-gram of their prefixes, chained to its first owner."""
-    plain = nodes.where("grams IS NOT NULL").select("node", F.explode("grams").alias("gram"), F.lit(0).alias("part"))
-    hot = nodes.where("hot IS NOT NULL").select("node", F.explode(F.arrays_zip("hot", "parts")).alias("h"))
+def _sketched(percent: int):
+    def step(batches):
+        for pdf in batches:
+            keep = [s or may_link(x, y, m, n, percent) for s, x, y, m, n in zip(pdf.sure, pdf.sa, pdf.sb, pdf.na, pdf.nb)]
+            yield pdf.loc[keep, ["a", "b"]]
+
+    return step
+
+
+def candidates(named: DataFrame, nodes: DataFrame, store: Store, percent: int = PERCENT) -> DataFrame:
+    """(a, b) edges whose connected parts hold every pair of nodes that can link."""
+    plain = named.where("grams IS NOT NULL").select("node", "n_shingles", F.posexplode("grams").alias("place", "gram"))
+    plain = plain.select("gram", (F.shiftleft(F.col("n_shingles"), 32) + F.col("place")).alias("sized"), "node")
+    found = store.put(plain.repartition("gram").sortWithinPartitions("gram", "sized", "node").mapInPandas(_owners(percent), "a long, b long, sure boolean"))
+    pairs = found.groupBy("a", "b").agg(F.bool_or("sure").alias("sure"))
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_sketched(percent), "a long, b long")
+    hot = named.where("size(hot) > 0").select("node", F.explode(F.arrays_zip("hot", "parts")).alias("h"))
     hot = hot.select("node", F.col("h.hot").alias("gram"), (F.pmod(F.xxhash64("node"), F.col("h.parts")) + 1).cast("int").alias("part"))
 
     def group(rows):
         return rows.repartition("gram", "part").sortWithinPartitions("gram", "part", "node").mapInPandas(_chain, "gram long, a long, b long")
 
-    made = store.put(group(plain.unionByName(hot)))
-    heads = made.where("b IS NULL").select(F.col("a").alias("node"), "gram", F.lit(0).alias("part"))
-    return made.where("b IS NOT NULL").select("a", "b").unionByName(group(heads).where("b IS NOT NULL").select("a", "b"))
+    chained = store.put(group(hot))
+    heads = group(chained.where("b IS NULL").select(F.col("a").alias("node"), "gram", F.lit(0).alias("part")))
+    return likely.unionByName(chained.where("b IS NOT NULL").select("a", "b")).unionByName(heads.where("b IS NOT NULL").select("a", "b"))
 
 
 class Tree:
@@ -265,21 +355,18 @@ class Tree:
     def probe(self, i: int) -> None:
         """Unites set ``i`` with every set of the tree that reaches the threshold."""
         grams, p = self.sets[i], self.percent
-        mine, size = frozenset(grams), len(grams)
+        mine, size, home, find = frozenset(grams), len(grams), self.find(i), self.find
         low, high = -(-p * size // 100), 100 * size // p
         stack = [(self.root, 0, 0)]
         while stack:
             node, depth, over = stack.pop()
-            if node[5] is not None and node[5] >= 0 and self.find(node[5]) == self.find(i):
-                continue
             for j in node[4]:
                 if low <= depth <= high and (100 + p) * over >= p * (size + depth):
-                    self.parent[self.find(j)] = self.find(i)
+                    self.parent[find(j)] = home
             for child in node[1].values():
-                long, short = child[3], child[2]
-                if long < low or short > high:
+                label, _, short, long, _, linked = child
+                if long < low or short > high or linked >= 0 and find(linked) == home:
                     continue
-                label = child[0]
                 o, d = over + len(mine.intersection(label)), depth + len(label)
                 long, short = min(long, high), max(short, low)
                 # the longest set below may match all it has left, the shortest all that the probe has left
@@ -313,35 +400,43 @@ def join_unit(sets: list[np.ndarray], sides: list[int], percent: int = PERCENT)
 
 def _unit_join(n: int, percent: int):
     def step(pdf):
-        pdf = pdf.drop_duplicates(["node"])
-        pdf = pdf.sort_values("node")
-        node = pdf.node.to_numpy()
-        root = join_unit([ngrams(t, n) for t in pdf.text], pdf.side.tolist(), percent)
-        out = pd.DataFrame({"a": node, "b": node[root]})
-        return out[out.a != out.b]
+        node, cluster, side, text = pdf.node.to_numpy(), pdf.cluster.to_numpy(), pdf.side.to_numpy(), pdf.text.to_numpy()
+        order = np.lexsort((node, cluster))
+        order = order[np.concatenate([[True], node[order[1:]] != node[order[:-1]]])]
+        found = []
+        for mine in np.split(order, np.flatnonzero(cluster[order[1:]] != cluster[order[:-1]]) + 1):
+            if len(mine) > 1:
+                root = join_unit([ngrams(text[i], n) for i in mine], side[mine].tolist(), percent)
+                found.append(np.stack([node[mine], node[mine[root]]]))
+        a, b = np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1)
+        return pd.DataFrame({"a": a, "b": b})[a != b]
 
     return step
 
 
 def units(nodes: DataFrame, store: Store, percent: int = PERCENT, most: int = UNIT) -> DataFrame:
-    """(node, n_shingles, cluster) to (node, unit, side), see step 3 of the module."""
+    """(node, n_shingles, cluster) to (node, cluster, unit, side), see step 3 of the module."""
     width = -math.log(percent / 100) * 1.0001
     nodes = nodes.withColumn("band", F.floor(F.log("n_shingles") / width).cast("int"))
     total = nodes.groupBy("cluster").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("members")).where("members > 1")
-    small = nodes.join(total.where(F.col("weight") <= most), "cluster").select("node", F.xxhash64("cluster").alias("unit"), F.lit(2).alias("side"))
+    total = store.put(total)
+    few = total.where(F.col("weight") <= most)
+    bins = max(1, -(-(few.agg(F.sum("weight")).first()[0] or 0) // most))  # small clusters share units
+    small = nodes.join(few, "cluster").select("node", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("unit"), F.lit(2).alias("side"))
     large = store.put(nodes.join(total.where(F.col("weight") > most).select("cluster"), "cluster"))
     half = max(1, most // 2)
     bands = store.put(large.groupBy("cluster", "band").agg(F.ceil(F.sum("n_shingles") / half).cast("int").alias("blocks")))
     own = large.join(bands, ["cluster", "band"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     inside = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "node",
+        "cluster",
         F.xxhash64("cluster", "band", "band", F.least("i", "j"), F.greatest("i", "j")).alias("unit"),
         F.when(F.col("i") == F.col("j"), 2).otherwise(F.when(F.col("i") < F.col("j"), 0).otherwise(1)).alias("side"),
     )
     above = bands.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("other"))
     below = bands.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("other"))
-    up = own.join(above, ["cluster", "band"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).select("node", F.xxhash64("cluster", "band", F.col("band") + 1, "i", "j").alias("unit"), F.lit(0).alias("side"))
-    down = own.join(below, ["cluster", "band"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).select("node", F.xxhash64("cluster", F.col("band") - 1, "band", "j", "i").alias("unit"), F.lit(1).alias("side"))
+    up = own.join(above, ["cluster", "band"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).select("node", "cluster", F.xxhash64("cluster", "band", F.col("band") + 1, "i", "j").alias("unit"), F.lit(0).alias("side"))
+    down = own.join(below, ["cluster", "band"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).select("node", "cluster", F.xxhash64("cluster", F.col("band") - 1, "band", "j", "i").alias("unit"), F.lit(1).alias("side"))
     return small.unionByName(inside).unionByName(up).unionByName(down)
 
 
@@ -351,12 +446,13 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, comm
     store = Store(spark, "jaccard")
     gram, level = common_ngrams(docs, store, n, common)
     shared = spark.sparkContext.broadcast((gram.tobytes(), level.tobytes()))
-    named = store.put(docs.mapInPandas(_prefixes(shared, n, percent), "doc_id long, node long, n_shingles long, grams array<long>, hot array<long>, parts array<long>"))
-    clusters = components(chains(named, store), store)
-    owners = named.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    nodes = store.put(owners.join(clusters.select("node", F.col("label").alias("cluster")), "node"))
-    work = units(nodes.select("node", "n_shingles", "cluster"), store, percent, unit).join(nodes.select("node", "doc_id"), "node")
-    texts = docs.join(work.hint("shuffle_hash"), "doc_id").select("node", "unit", "side", "text")
+    named = store.put(docs.mapInPandas(_prefixes(shared, n, percent), NAMED))
+    owners = store.put(named.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")))
+    clusters = components(candidates(named, owners, store, percent), store)
+    nodes = store.put(owners.drop("sketch").join(clusters.select("node", F.col("label").alias("cluster")), "node"))
+    work = store.put(units(nodes.select("node", "n_shingles", "cluster"), store, percent, unit).join(nodes.select("node", "doc_id"), "node"))
+    side = F.broadcast(work) if work.count() <= BROADCAST else work.hint("shuffle_hash")
+    texts = docs.join(side, "doc_id").select("node", "cluster", "unit", "side", "text")
     links = texts.groupBy("unit").applyInPandas(_unit_join(n, percent), "a long, b long")
     label = components(links, store)
     named = named.select("doc_id", "node", "n_shingles").join(label, "node", "left").withColumn("part", F.coalesce("label", "node"))
