@@ -3,14 +3,13 @@
 Base: places where the words of a phrase stand next to each other (``mit
 license``, ``apache license``, ``general public license``).
 
-Method: the index has, for every word of the license templates, its inverse
-document frequency among them and its postings (template, position).  Of a
-file's license words those with the highest frequency class are looked up, up to
-``LOOKUPS`` different ones.  Every occurrence votes for the place in the file at
-which the template would begin (its own position less the posting's), which
-intersects the postings by relative position.  A template is found at a place
-if at least ``LEAST`` of its words stand where they should and one of its
-mandatory key phrases lies inside.  The score is the best share of words.
+Method: of every template the rarest words (by inverse document frequency among
+the templates) are anchors, one more of them than words that a match may miss, so
+that every match has an anchor in its place.  Every occurrence of an anchor votes
+for the place in the file at which the template would begin (its own position less
+the posting's), which intersects the postings by relative position.  A template is
+found at a place if at least ``LEAST`` of its words stand where they should and one
+of its mandatory key phrases lies inside.  The score is the best share of words.
 
 The index is a literal of fixed size inside the expression.  Only texts that have
 every word of some phrase, as substrings, are split; words are an array inside the
@@ -42,7 +41,10 @@ TEMPLATES = {
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
 }
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+#: LOOKUPS, words of a file that vote, holds in the SQL twin only; here all anchors vote.
 LOOKUPS, LEAST = 4, 0.75
+#: More than there are templates, and words of one.
+SPAN = 64
 #: Below this frequency a word is no anchor: it stands in too many templates.
 RARE = 3
 
@@ -53,22 +55,30 @@ def idf() -> dict[str, int]:
     return {w: round(1000 * math.log(len(TEMPLATES) / k)) for w, k in df.items() if k < RARE}
 
 
+def anchors() -> dict[str, list[tuple[int, int]]]:
+    """Postings (template, position) of the anchor words."""
+    rank, out = idf(), {}
+    for t, (text, _) in enumerate(TEMPLATES.values()):
+        words = text.split()
+        missing = len(words) - min(k for k in range(len(words) + 1) if k / len(words) >= LEAST)
+        rare = sorted((p for p, w in enumerate(words) if w in rank), key=lambda p: (-rank[words[p]], -len(words[p]), p))
+        assert len(rare) > missing
+        for p in rare[: missing + 1]:
+            out.setdefault(words[p], []).append((t, p))
+    return out
+
+
 def _sql_array(words, kind: str = "string") -> str:
     return "array(" + ", ".join(f"'{w}'" if kind == "string" else str(w) for w in words) + ")"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Base places and the method's labels for every row of ``docs`` (doc_id, text)."""
-    rank = idf()
     names = list(TEMPLATES)
-    vocabulary = sorted(rank)
-    ranks = _sql_array([rank[w] for w in vocabulary], "int")
-    vocab = _sql_array(vocabulary)
-    # postings of each word of the vocabulary, as (template, position) pairs
-    posts = "array(" + ", ".join(
-        "array(" + ", ".join(f"named_struct('t', {t}, 'p', {p})" for t, n in enumerate(names) for p, x in enumerate(TEMPLATES[n][0].split()) if x == w) + ")"
-        for w in vocabulary
-    ) + ")"
+    index = sorted(anchors().items())
+    vocab = _sql_array([w for w, _ in index])
+    # postings of each anchor, as (template, position) pairs
+    posts = "array(" + ", ".join("array(" + ", ".join(f"named_struct('t', {t}, 'p', {p})" for t, p in found) + ")" for _, found in index) + ")"
     texts = "array(" + ", ".join(_sql_array(TEMPLATES[n][0].split()) for n in names) + ")"
     keys = "array(" + ", ".join(_sql_array([f" {k} " for k in TEMPLATES[n][1]]) for n in names) + ")"
     labels = _sql_array([n.removesuffix("-text") for n in names])
@@ -87,13 +97,12 @@ def scan(docs: DataFrame) -> DataFrame:
          "WHEN get(w, i) = 'apache' AND get(w, i + 1) = 'license' THEN array(named_struct('at', i, 'label', 'apache')) "
          "WHEN get(w, i) = 'general' AND get(w, i + 1) = 'public' AND get(w, i + 2) = 'license' THEN array(named_struct('at', i, 'label', 'gpl')) "
          "ELSE CAST(array() AS array<struct<at: int, label: string>>) END)) END AS b"],
-        # occurrences of index words, then the highest ranks of them
+        # occurrences of anchors, then their votes as numbers, of which the different ones are found by hash
         ["doc_id", "w", "n_words", "b",
          f"CASE WHEN size(w) > 0 THEN filter(transform(w, (x, i) -> named_struct('i', i, 'v', array_position({vocab}, x))), x -> x.v > 0) END AS hits"],
-        ["doc_id", "w", "n_words", "b", "hits",
-         f"slice(reverse(array_sort(transform(array_distinct(transform(hits, h -> h.v)), v -> named_struct('r', get({ranks}, CAST(v AS int) - 1), 'v', v)))), 1, {LOOKUPS}) AS best"],
         ["doc_id", "w", "n_words", "b",
-         f"array_distinct(flatten(transform(filter(hits, h -> exists(best, x -> x.v = h.v)), h -> transform(get({posts}, CAST(h.v AS int) - 1), q -> named_struct('t', q.t, 'o', h.i - q.p))))) AS votes"],
+         f"transform(array_distinct(flatten(transform(hits, h -> transform(get({posts}, CAST(h.v AS int) - 1), q -> CAST(h.i - q.p + {SPAN} AS bigint) * {SPAN} + q.t)))), "
+         f"v -> named_struct('t', CAST(v % {SPAN} AS int), 'o', CAST(v DIV {SPAN} AS int) - {SPAN})) AS votes"],
         ["doc_id", "w", "n_words", "b",
          f"transform(votes, q -> named_struct('t', q.t, 'o', q.o, 's', "
          f"size(filter(sequence(0, size(get({texts}, q.t)) - 1), k -> q.o + k >= 0 AND coalesce(get(w, q.o + k), '') = get(get({texts}, q.t), k))) / CAST(size(get({texts}, q.t)) AS double))) AS scored"],

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import struct
 import zlib
 
@@ -282,6 +283,37 @@ def test_licenses(documents):
     assert "Python" not in plan and "Arrow" not in plan and licenses.scan(docs.limit(0)).count() == 0
 
 
+def plain_licenses(text):
+    """Labels and score by trying every template at every place."""
+    w, labels, best = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or "")), set(), 0.0
+    labels |= {label for i in range(len(w)) for phrase, label in licenses.BASE.items() if w[i : i + len(phrase.split())] == phrase.split()}
+    for name, (template, keys) in licenses.TEMPLATES.items():
+        t = template.split()
+        for o in range(-len(t), len(w)):
+            s = sum(0 <= o + k < len(w) and w[o + k] == x for k, x in enumerate(t)) / len(t)
+            inside = f" {' '.join(w[max(o, 0) : max(o, 0) + len(t)])} "
+            if s >= licenses.LEAST and any(f" {k} " in inside for k in keys):
+                labels.add(name.removesuffix("-text"))
+                best = max(best, s)
+    return ",".join(sorted(labels)), best
+
+
+def test_licenses_in_a_file_with_many_index_words(documents):
+    """Ordinary words and other notices do not take a template's votes away."""
+    notice = {n: t for n, (t, _) in licenses.TEMPLATES.items()}
+    texts = ["the terms of this work and its purpose are subject to review. Licensed under CC BY-NC 4.0", ". ".join(notice[n] for n in ("mit", "gpl", "apache")), " . ".join(notice.values()), " x ".join(reversed(notice.values()))]
+    rnd = random.Random(6)
+    for t in notice.values():  # as many words changed as a match may miss, or one more
+        for _ in range(6):
+            w = t.split()
+            for k in rnd.sample(range(len(w)), len(w) // 4 + rnd.randint(0, 1)):
+                w[k] = rnd.choice(["zzz", "work", "a", "terms"])
+            texts.append("work terms subject purpose " * rnd.randint(0, 1) + " ".join(w[rnd.randint(0, 1) :]))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(documents(list(enumerate(texts)))).collect()}
+    assert got[0] == ("cc-by-nc", 1.0) and got[2][0] == "apache,bsd,cc-by-nc,cc-by-sa,gpl,isc,mit,mpl"
+    assert got == {i: plain_licenses(t) for i, t in enumerate(texts)}
+
+
 # --- 8 urls
 
 
