@@ -49,8 +49,10 @@ def clustering(t):
 r(node, label) AS (SELECT a, b FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.label) SELECT node, min(label) AS label FROM r GROUP BY node HAVING count(*) > 1""",
 )
 def components(t):
-    x = t.lineitem.where("l_quantity = 50 AND l_linenumber = 1").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
-    e = G.simple_edges(x.select("o", F.col("p").alias("a")).join(x.select("o", F.col("p").alias("b")), "o"))
+    # all lines, each order a star around its least part: the components of all pairs, with edges as many as lines;
+    # the SQL closes over a few lines only, as the closure over all is dear
+    x = t.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    e = G.simple_edges(x.select("o", F.col("p").alias("b")).join(x.groupBy("o").agg(F.min("p").alias("a")), "o"))
     return G.components(e, Store(t.spark, "components"))
 
 
