@@ -1,5 +1,6 @@
 """Graph queries over all rows of lineitem, against brute force on small fixtures."""
 
+import itertools
 import random
 
 import pytest
@@ -37,3 +38,21 @@ def test_components_of_all_lines(spark, folder, lines):
     got = plans.QUERIES["components"](spark, folder).collect()
     assert sorted((r.node, r.label) for r in got) == sorted(label.items())
     assert len(set(label.values())) > 2 and sum(x == 500 for x in label.values()) == 61
+
+
+def test_feedback_loops_of_all_lines(spark, folder, lines):
+    cents = {}
+    for _, _, p, s, _, x in lines:
+        if s % 12 != p % 12:
+            cents.setdefault((s % 12, p % 12), []).append(round(100 * x) - 5)
+    sign = {k: 1 if sum(v) > 0 else -1 for k, v in cents.items()}
+    want = []
+    for n in (2, 3):
+        for path in itertools.permutations(range(12), n):
+            steps = list(zip(path, path[1:] + path[:1]))
+            if path[0] == min(path) and all(k in sign for k in steps):
+                gain = 1
+                for k in steps:
+                    gain *= sign[k]
+                want.append(("-".join(map(str, path)), gain, "balancing" if gain < 0 else "reinforcing"))
+    assert want and sorted((r.loop, r.gain, r.polarity) for r in plans.QUERIES["feedback_loops"](spark, folder).collect()) == sorted(want)
