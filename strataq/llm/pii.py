@@ -71,6 +71,7 @@ IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4}
 SECRET = re.compile(r"(?i)(?<![^\W_])(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)[\"']?\s*[=:]\s*(?P<q>[\"']?)(?P<v>[^\s\"',;]{8,})(?P=q)")
 TITLED = re.compile(r"(?<!\w)(?P<t>%s)\.? (?P<a>[^\W\d_]+)(?: (?P<b>[^\W\d_]+))?" % "|".join(t for ts in TITLES.values() for t in ts))
 GIVEN = re.compile(r"(?<!\w)(?P<a>%s) (?P<b>[^\W\d_]{2,})(?!\w)" % "|".join(OF_NAME))
+WORD = re.compile(r"\w+")
 ALL_TITLES = frozenset(t for ts in TITLES.values() for t in ts)
 
 
@@ -220,7 +221,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "iban") for m in IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and _iban_ok(m[0].replace(" ", ""))]
     if "=" in text or ":" in text:
         found += [(*m.span("v"), "secret") for m in SECRET.finditer(text)]
-    words = set(text.replace(".", " ").split())
+    words = set(WORD.findall(text))  # runs that the patterns below cannot start inside of
     if not ALL_TITLES.isdisjoint(words):
         for m in TITLED.finditer(text):
             for part in "ab":

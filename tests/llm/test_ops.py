@@ -344,6 +344,15 @@ def test_url_filter(spark):
 # --- 9 PII
 
 
+@pytest.mark.parametrize("text", ["(Dr. Smith)", "he said 'Anna Schmidt' today", 'said "Anna Schmidt" today', '{"name":"Maria Lopez"}', "contact:Maria Lopez", "author -Peter Brown", "x\u2014Mrs Jones", "a,John Miller", "[Herr Braun]"])
+def test_pii_finds_names_after_any_sign(text):
+    """As many places as the patterns match, whatever stands before the name."""
+    want = {m.span(g) for pattern in (pii.TITLED, pii.GIVEN) for m in pattern.finditer(text) for g in "ab" if m[g] and m[g][0].isupper()}
+    assert want and {x[:2] for x in pii.find(text)} == want
+    new = pii.replace(text, pii.Surrogates(b"k"))[0]
+    assert all(new[a:b] != text[a:b] for a, b in want)
+
+
 def test_pii_is_distinct_coreferent_and_of_one_format(documents):
     made = pii.Surrogates(b"k")
     cards = [f"{4000000000000000 + i}" for i in range(300)]
