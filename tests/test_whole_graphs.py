@@ -56,3 +56,21 @@ def test_feedback_loops_of_all_lines(spark, folder, lines):
                     gain *= sign[k]
                 want.append(("-".join(map(str, path)), gain, "balancing" if gain < 0 else "reinforcing"))
     assert want and sorted((r.loop, r.gain, r.polarity) for r in plans.QUERIES["feedback_loops"](spark, folder).collect()) == sorted(want)
+
+
+def test_supplier_graph_of_all_lines(spark, folder, lines):
+    near = {}
+    for a, b in linked(lines, 3):
+        near.setdefault(a, set()).add(b)
+    threes = {(a, b, c) for a in near for b in near[a] for c in near[a] & near[b] if a < b < c}
+    run = lambda key: [tuple(r) for r in plans.QUERIES[key](spark, folder).collect()]
+    assert sorted(run("triangles")) == sorted(threes) and threes
+    degree = {a: len(x) for a, x in near.items()}
+    for r in plans.QUERIES["clustering"](spark, folder).collect():
+        n, d = sum(r.node in x for x in threes), degree[r.node]
+        assert (r.degree, r.triangles) == (d, n) and r.clustering == pytest.approx(2 * n / (d * (d - 1)) if d > 1 else 0, abs=1e-6)
+    (r,) = plans.QUERIES["percolation"](spark, folder).collect()
+    mean, second = sum(degree.values()) / len(degree), sum(d * d for d in degree.values()) / len(degree)
+    assert r.nodes == len(degree) and (r.mean_degree, r.threshold, r.molloy_reed) == pytest.approx((mean, mean / (second - mean), second / mean), abs=1e-5)
+    top = sorted(degree.items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert sorted(run("topk_degree"), key=lambda r: r[2]) == [(n, d, k) for k, (n, d) in enumerate(top, 1)]
