@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEAD, WINDOW, STRIDE = 40_000, 1_100, 900
+WINDOW, STRIDE = 1_100, 900
 
 
 def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Windows of the first part of every text: key, offset, chunk."""
-    last = F.greatest(F.least(F.length(text), F.lit(HEAD)) - 1, F.lit(0))
+    """Windows of every whole text: key, offset, chunk.  The reference and the SQL stop at 40,000 characters."""
+    last = F.length(text) - 1
     rows = docs.where(F.length(text) > 0).select(key, text, F.explode(F.sequence(F.lit(0), last, F.lit(STRIDE))).alias("offset"))
-    return rows.select(key, "offset", F.substring(F.substring(text, 1, HEAD), F.col("offset") + 1, F.lit(WINDOW)).alias("chunk"))
+    return rows.select(key, "offset", F.substring(text, F.col("offset") + 1, F.lit(WINDOW)).alias("chunk"))
 
 
 def tfidf_search(chunked: DataFrame, query: str, key: str, limit: int = 10) -> DataFrame:
