@@ -30,6 +30,12 @@ class Store:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
+    def part(self, name: str) -> "Store":
+        """A store in a folder of this one, which can be cleared as a whole."""
+        inner = Store(self.spark, name)
+        inner.root = f"{self.root}/{name}"
+        return inner
+
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
@@ -40,7 +46,13 @@ class Store:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing lazy reads any more."""
-        jvm = self.spark._jvm
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._strataq_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._strataq_path)
+
+    def clear(self) -> None:
+        """Deletes every table of this store."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
