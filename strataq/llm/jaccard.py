@@ -17,32 +17,45 @@ with equal sets are one *node*.  Two nodes link if ``100 * |A & B|`` is at least
    their sizes are compatible, so compatible owners always end up connected.
    The connected parts are the *clusters* of candidates.  An n-gram with very
    many owners is dealt out in parts that are linked among each other.
-3. Clusters of at most ``UNIT`` n-grams share units of about that size.  A larger one is cut
-   by size into bands as wide as the threshold allows, and bands into blocks; the
-   units are the pairs of blocks of one band or of neighbouring bands, so every
-   pair that can link meets exactly once, and no unit outgrows its bound.
+3. Clusters of at most ``UNIT`` n-grams share units of about that size.  A larger one is
+   worked on in two rounds.  First every block of half a unit is joined with itself and with
+   a fixed share of the cluster of at most about that size, the *pivots*: what is shipped is
+   about twice the cluster.  Members linked by now are one part already, so the second round
+   leaves pairs inside the largest part out: it joins the *rest* of the cluster with itself
+   and with the largest part, in pairs of blocks of one band of sizes or of neighbouring ones
+   (bands are as wide as the threshold allows, so no pair that can link is missed).  Of a
+   group of near copies the rest is small, and the work stays in proportion to the cluster.
 4. In a unit the sets go into a prefix tree in the unit's order (again rare ones
    first).  A probe walks down with its overlap so far; a subtree is left where
    neither its longest nor its shortest set can still reach the threshold with
    the n-grams that remain, or where all its sets are linked with the probe
-   already.  Links found are united at once.
+   already.  Links found are united at once.  What is shipped to units are the n-grams
+   of candidate nodes, found again by the name of the set and not by the doc_id alone.
+
+Tables that a later step needs no more are deleted; what is left behind the result is two
+narrow tables.
 
 Cases: null and wordless texts have an empty set, link with nothing and keep
 their own id; a text of fewer than ``n`` words has its whole sequence as its one
-shingle; repeated rows share a set; rows with a null doc_id are returned but not
-linked (component null), as no id names them; an empty table gives no rows.
+shingle; a very long text is one set, and its unit is as large as it is; ties of size are
+ordered by the set's name; repeated rows share a set; rows that repeat a doc_id with another
+text are judged by their own sets; rows with a null doc_id are returned but not
+linked (component null), as no id names them; an empty table gives no rows; columns other
+than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_right
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import components
 from .common import Store, spaced_words, table
@@ -53,7 +66,9 @@ CHUNK = 1 << 21  # n-grams counted together inside a task
 UNIT = 400_000  # n-grams of one unit of work
 HOT, PART = 1024, 512  # owners of an n-gram above which it is dealt out, and of one part
 PAIRS = 32  # owners of an n-gram that are paired; more are chained
-BROADCAST = 200_000  # rows of 28 bytes that say where a text is needed; more are joined by shuffle
+BROADCAST = 200_000  # rows of up to 40 bytes that say where a set is needed; more are joined by shuffle
+GONE = SEATS = 2_000_000  # ids, and (id, set) pairs, that are broadcast: 8 and 16 bytes each; more are joined by shuffle
+SEEN = 1 << 17  # names of sets that a task remembers in order not to repeat their n-grams
 STEP = 16  # n-grams of one edge of the tree
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -173,7 +188,7 @@ def _prefixes(shared, n: int, percent: int):
                 if name in seen or pd.isna(doc):
                     rows.append((doc, name, len(g), None, None, None, None))
                     continue
-                if len(seen) > 1 << 20:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(name)
                 of = np.zeros(len(g), np.uint8)
@@ -288,7 +303,8 @@ def candidates(named: DataFrame, nodes: DataFrame, store: Store, percent: int =
     found = store.put(plain.repartition("gram").sortWithinPartitions("gram", "sized", "node").mapInPandas(_owners(percent), "a long, b long, sure boolean"))
     pairs = found.groupBy("a", "b").agg(F.bool_or("sure").alias("sure"))
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_sketched(percent), "a long, b long")
+    likely = store.put(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_sketched(percent), "a long, b long"))
+    store.drop(found)
     hot = named.where("size(hot) > 0").select("node", F.explode(F.arrays_zip("hot", "parts")).alias("h"))
     hot = hot.select("node", F.col("h.hot").alias("gram"), (F.pmod(F.xxhash64("node"), F.col("h.parts")) + 1).cast("int").alias("part"))
 
@@ -377,10 +393,11 @@ class Tree:
                 stack.append((child, d, o))
 
 
-def join_unit(sets: list[np.ndarray], sides: list[int], percent: int = PERCENT) -> list[int]:
+def join_unit(sets: list[np.ndarray], sides: list[int], percent: int = PERCENT, known: list | None = None) -> list[int]:
     """For each set the position of one set it is linked with, through links, or its own.
 
-    Side 0 is only inserted, side 1 only probes, side 2 does both.
+    Side 0 is only inserted, side 1 only probes, side 2 does both.  Sets with the same
+    ``known`` part are linked from the start.
     """
     sizes = [len(s) for s in sets]
     gram, pos, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -390,6 +407,9 @@ def join_unit(sets: list[np.ndarray], sides: list[int], percent: int = PERCENT)
     tree = Tree(percent)
     for x in ordered:
         tree.add(tuple(x.tolist()))
+    first: dict = {}
+    for i, part in enumerate(known if known is not None else ()):
+        tree.parent[i] = first.setdefault(part, i)
     for i in sorted(range(len(sets)), key=lambda i: (sides[i] == 1, sizes[i])):
         if sides[i]:
             tree.probe(i)
@@ -398,82 +418,176 @@ def join_unit(sets: list[np.ndarray], sides: list[int], percent: int = PERCENT)
     return [tree.find(i) for i in range(len(sets))]
 
 
-def _unit_join(n: int, percent: int):
+def _unit_join(percent: int):
     def step(pdf):
-        node, cluster, side, text = pdf.node.to_numpy(), pdf.cluster.to_numpy(), pdf.side.to_numpy(), pdf.text.to_numpy()
-        order = np.lexsort((node, cluster))
+        node, cluster, side, part, grams = (pdf[c].to_numpy() for c in ("node", "cluster", "side", "part", "grams"))
+        order = np.lexsort((-side, node, cluster))  # of a pivot in its own block, the row that probes
         order = order[np.concatenate([[True], node[order[1:]] != node[order[:-1]]])]
         found = []
         for mine in np.split(order, np.flatnonzero(cluster[order[1:]] != cluster[order[:-1]]) + 1):
             if len(mine) > 1:
-                root = join_unit([ngrams(text[i], n) for i in mine], side[mine].tolist(), percent)
-                found.append(np.stack([node[mine], node[mine[root]]]))
+                root = join_unit([np.frombuffer(grams[i], np.uint64) for i in mine], side[mine].tolist(), percent, part[mine].tolist())
+                found.append(np.stack([part[mine], part[mine[root]]]))
         a, b = np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1)
-        return pd.DataFrame({"a": a, "b": b})[a != b]
+        return pd.DataFrame({"a": a, "b": b})[a != b].drop_duplicates()
 
     return step
 
 
-def units(nodes: DataFrame, store: Store, percent: int = PERCENT, most: int = UNIT) -> DataFrame:
-    """(node, n_shingles, cluster) to (node, cluster, unit, side), see step 3 of the module."""
+def _wanted(n: int):
+    """Rows (node, text) to (node, grams), for the rows whose set has that name."""
+
+    def step(batches):
+        seen: set[int] = set()
+        for pdf in batches:
+            rows = []
+            for node, text in zip(pdf.node, pdf.text):
+                if node not in seen and set_id(g := ngrams(text, n)) == node:
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    seen.add(node)
+                    rows.append((node, g.tobytes()))
+            yield pd.DataFrame(rows, columns=["node", "grams"]).astype({"node": "int64"})
+
+    return step
+
+
+def _blocks(rows: DataFrame, keys: list[str], half: int) -> DataFrame:
+    """Number of blocks of about ``half`` n-grams for each of ``keys``."""
+    return rows.groupBy(*keys).agg(F.ceil(F.sum("n_shingles") / half).cast("int").alias("blocks"))
+
+
+def first_round(large: DataFrame, half: int) -> DataFrame:
+    """(node, cluster, n_shingles, weight) to (node, cluster, unit, side): blocks and pivots."""
+    cut = large.withColumn("blocks", F.ceil(F.col("weight") / half).cast("int"))
+    own = cut.select("node", "cluster", F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("unit"), F.lit(2).alias("side"))
+    pivots = cut.where(F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("blocks")) == 0).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.unionByName(pivots.select("node", "cluster", F.xxhash64("cluster", "j").alias("unit"), F.lit(0).alias("side")))
+
+
+def second_round(rest: DataFrame, main: DataFrame, store: Store, percent: int, half: int) -> DataFrame:
+    """The same for pairs with a node of ``rest``: of one band of sizes or neighbouring ones."""
     width = -math.log(percent / 100) * 1.0001
-    nodes = nodes.withColumn("band", F.floor(F.log("n_shingles") / width).cast("int"))
-    total = nodes.groupBy("cluster").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("members")).where("members > 1")
-    total = store.put(total)
-    few = total.where(F.col("weight") <= most)
-    bins = max(1, -(-(few.agg(F.sum("weight")).first()[0] or 0) // most))  # small clusters share units
-    small = nodes.join(few, "cluster").select("node", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("unit"), F.lit(2).alias("side"))
-    large = store.put(nodes.join(total.where(F.col("weight") > most).select("cluster"), "cluster"))
-    half = max(1, most // 2)
-    bands = store.put(large.groupBy("cluster", "band").agg(F.ceil(F.sum("n_shingles") / half).cast("int").alias("blocks")))
-    own = large.join(bands, ["cluster", "band"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    inside = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "node",
-        "cluster",
-        F.xxhash64("cluster", "band", "band", F.least("i", "j"), F.greatest("i", "j")).alias("unit"),
-        F.when(F.col("i") == F.col("j"), 2).otherwise(F.when(F.col("i") < F.col("j"), 0).otherwise(1)).alias("side"),
-    )
-    above = bands.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("other"))
-    below = bands.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("other"))
-    up = own.join(above, ["cluster", "band"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).select("node", "cluster", F.xxhash64("cluster", "band", F.col("band") + 1, "i", "j").alias("unit"), F.lit(0).alias("side"))
-    down = own.join(below, ["cluster", "band"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).select("node", "cluster", F.xxhash64("cluster", F.col("band") - 1, "band", "j", "i").alias("unit"), F.lit(1).alias("side"))
-    return small.unionByName(inside).unionByName(up).unionByName(down)
-
-
-def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, common: int = COMMON, unit: int = UNIT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    band = F.floor(F.log("n_shingles") / width).cast("int")
+    rest, main = rest.withColumn("band", band), main.withColumn("band", band)
+    r, m = (store.put(_blocks(x, ["cluster", "band"], half)) for x in (rest, main))
+
+    def dealt(rows, blocks):
+        return rows.join(blocks, ["cluster", "band"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    def facing(rows, others, step, name, side):
+        """Rows with every block of the others' band ``step`` above their own."""
+        far = others.select("cluster", (F.col("band") - step).alias("band"), F.col("blocks").alias("other"))
+        return rows.join(far, ["cluster", "band"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).select("node", "cluster", name.alias("unit"), side.alias("side"))
+
+    rest, main = dealt(rest, r), dealt(main, m)
+    inside = F.xxhash64(F.lit("rest"), "cluster", "band", "band", F.least("i", "j"), F.greatest("i", "j"))
+    out = [facing(rest, r, 0, inside, F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1))]
+    out.append(facing(rest, r, 1, F.xxhash64(F.lit("rest"), "cluster", "band", F.col("band") + 1, "i", "j"), F.lit(0)))
+    out.append(facing(rest, r, -1, F.xxhash64(F.lit("rest"), "cluster", F.col("band") - 1, "band", "j", "i"), F.lit(1)))
+    for step in (-1, 0, 1):
+        out.append(facing(rest, m, step, F.xxhash64(F.lit("main"), "cluster", "band", F.col("band") + step, "i", "j"), F.lit(1)))
+        out.append(facing(main, r, step, F.xxhash64(F.lit("main"), "cluster", F.col("band") + step, "band", "j", "i"), F.lit(0)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def unit_links(nodes: DataFrame, docs: DataFrame, store: Store, n: int = N, percent: int = PERCENT, most: int = UNIT) -> DataFrame:
+    """(node, doc_id, n_shingles, cluster) to edges (a, b) that connect whatever links connect."""
+    total = store.put(nodes.groupBy("cluster").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("members")).where("members > 1"))
+    few, size = total.where(F.col("weight") <= most), total.agg(F.sum(F.when(F.col("weight") <= most, F.col("weight"))), F.count_if(F.col("weight") > most)).first()
+    bins = max(1, -(-(size[0] or 0) // most))  # small clusters share units
+    seats = nodes.join(total.select("cluster"), "cluster").select("node", "doc_id")
+    side = F.broadcast(seats) if seats.count() <= SEATS else seats.hint("shuffle_hash")
+    sets = store.put(docs.join(side, "doc_id").select("node", "text").mapInPandas(_wanted(n), "node long, grams binary"))
+
+    def joined(work: DataFrame) -> DataFrame:
+        work = store.put(work)
+        side = F.broadcast(work) if work.count() <= BROADCAST else work
+        found = store.put(sets.join(side, "node").groupBy("unit").applyInPandas(_unit_join(percent), "a long, b long"))
+        store.drop(work)
+        return found
+
+    alone = F.col("node").alias("part")
+    found = joined(nodes.join(few, "cluster").select("node", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("unit"), F.lit(2).alias("side"), alone))
+    if size[1]:
+        half = max(1, most // 2)
+        large = store.put(nodes.join(total.where(F.col("weight") > most).select("cluster", "weight"), "cluster").select("node", "n_shingles", "cluster", "weight"))
+        near = joined(first_round(large, half).withColumn("part", F.col("node")))
+        parts = store.put(large.join(components(near, store), "node", "left").select("node", "n_shingles", "cluster", F.coalesce("label", "node").alias("part")))
+        main = parts.groupBy("cluster", "part").agg(F.sum("n_shingles").alias("w")).groupBy("cluster").agg(F.max_by("part", F.struct("w", "part")).alias("main"))
+        split = parts.join(store.put(main), "cluster")
+        rest = split.where("part <> main").drop("main")
+        found = found.unionByName(near)
+        if not rest.isEmpty():
+            work = second_round(rest, split.where("part = main").drop("main"), store, percent, half)
+            found = found.unionByName(joined(work.join(parts.select("node", "part"), "node")))
+    store.drop(sets)
+    return found
+
+
+def jaccard_nodes(docs: DataFrame, store: Store, n: int = N, percent: int = PERCENT, common: int = COMMON, unit: int = UNIT) -> tuple[DataFrame, DataFrame]:
+    """Written tables (doc_id, node, n_shingles) of all rows and (node, component_id) of all nodes."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    store = Store(spark, "jaccard")
-    gram, level = common_ngrams(docs, store, n, common)
+    work = store.part("work")
+    gram, level = common_ngrams(docs, work, n, common)
     shared = spark.sparkContext.broadcast((gram.tobytes(), level.tobytes()))
-    named = store.put(docs.mapInPandas(_prefixes(shared, n, percent), NAMED))
-    owners = store.put(named.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")))
-    clusters = components(candidates(named, owners, store, percent), store)
-    nodes = store.put(owners.drop("sketch").join(clusters.select("node", F.col("label").alias("cluster")), "node"))
-    work = store.put(units(nodes.select("node", "n_shingles", "cluster"), store, percent, unit).join(nodes.select("node", "doc_id"), "node"))
-    side = F.broadcast(work) if work.count() <= BROADCAST else work.hint("shuffle_hash")
-    texts = docs.join(side, "doc_id").select("node", "cluster", "unit", "side", "text")
-    links = texts.groupBy("unit").applyInPandas(_unit_join(n, percent), "a long, b long")
-    label = components(links, store)
-    named = named.select("doc_id", "node", "n_shingles").join(label, "node", "left").withColumn("part", F.coalesce("label", "node"))
-    least = named.where("part IS NOT NULL AND doc_id IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "part", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
-def clean(docs: DataFrame, **options) -> DataFrame:
-    """One row, all columns, of each component: the one with the least doc_id.
-
-    Rows with a null doc_id stay.
+    named = work.put(docs.mapInPandas(_prefixes(shared, n, percent), NAMED))
+    owners = work.put(named.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")))
+    clusters = components(candidates(named, owners, work, percent), work)
+    rows = store.put(named.select("doc_id", "node", "n_shingles"))
+    work.drop(named)
+    nodes = work.put(owners.drop("sketch").join(clusters.select("node", F.col("label").alias("cluster")), "node"))
+    label = components(unit_links(nodes, docs, work, n, percent, unit), work)
+    own = owners.select("node", F.col("doc_id").alias("own"))
+    label = work.put(label.join(own, "node"))
+    # written before it is joined, so that a part with many nodes can be split
+    least = work.put(label.groupBy("label").agg(F.min("own").alias("least")))
+    label = work.put(label.join(least, "label").select("node", "least"))
+    every = store.put(own.join(label, "node", "left").select("node", F.coalesce("least", "own").alias("component_id")))
+    work.clear()
+    shared.destroy()
+    return rows, every
+
+
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    rows, every = jaccard_nodes(docs, Store(docs.sparkSession, "jaccard"), **options)
+    return rows.join(every, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def clean(docs: DataFrame, n: int = N, **options) -> DataFrame:
+    """One row, all columns, of each component: that of the least doc_id.
+
+    Texts are not moved: the ids that go are broadcast up to ``GONE`` of them (beyond, rows
+    are joined by shuffle).  Rows that repeat a doc_id are told apart by their sets: of equal
+    sets one row stays.  Rows with a null doc_id stay, and so do wordless ones.
     """
     store = Store(docs.sparkSession, "jaccard-clean")
-    found = store.put(jaccard_components(docs, **options))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    one = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return one.unionByName(kept.where("doc_id IS NULL"))
+    rows, every = jaccard_nodes(docs, store, n, **options)
+    judged = store.put(rows.where("doc_id IS NOT NULL").join(every, "node", "left").select("doc_id", "node", F.coalesce("component_id", "doc_id").alias("component_id")))
+    ids = judged.groupBy("doc_id").agg(F.count("*").alias("k"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone OR k > 1")
+    ids = store.put(ids.select("doc_id", (F.col("k") > 1).alias("again")))
+    store.drop(rows, every)
+    size = ids.agg(F.count("*"), F.count_if("again")).first()
+    out = ids.select("doc_id")
+    plain = docs.join(F.broadcast(out) if size[0] <= GONE else out, "doc_id", "left_anti").select(*docs.columns)
+    if not size[1]:
+        return plain
+    again = ids.where("again").select("doc_id")
+    extra = "node_of_text"
+    while extra in docs.columns:
+        extra += "_"
+    shape = T.StructType([*docs.schema.fields, T.StructField(extra, T.LongType())])
+
+    def name(batches):
+        for pdf in batches:
+            pdf[extra] = pd.array([set_id(g) if len(g) else None for g in (ngrams(t, n) for t in pdf.text)], "Int64")
+            yield pdf
+
+    many = docs.join(F.broadcast(again) if size[1] <= GONE else again, "doc_id", "left_semi").select(*docs.columns).mapInPandas(name, shape)
+    keep = judged.where("node IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct()
+    stay = many.join(keep, (F.col("doc_id") == F.col("kept_id")) & (F.col(extra) == F.col("kept_node")), "left_semi").dropDuplicates(["doc_id", extra])
+    return plain.unionByName(stay.select(*docs.columns)).unionByName(many.where(F.col(extra).isNull()).select(*docs.columns))
 
 
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:

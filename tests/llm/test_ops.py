@@ -445,6 +445,34 @@ def test_jaccard_odd_inputs(documents):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 7] and "node" in kept.columns
 
 
+def test_jaccard_repeated_ids_with_other_texts(documents):
+    """A link holds for the row's own text, whatever the order of rows; see the module for what stays."""
+    rng = random.Random(12)
+    a, b = (" ".join(rng.sample(WORDS, 60)) for _ in range(2))
+    for rows in ([(1, a), (1, b), (2, b + " ba"), (3, a + " ba")], [(1, b), (1, a), (2, b + " ba"), (3, a + " ba")]):
+        out = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.jaccard_components(documents(rows)).collect()}
+        assert out == {(1, 57): 1, (2, 58): 1, (3, 58): 1}
+    c, d = (" ".join(rng.sample(WORDS, 60)) for _ in range(2))
+    rows = [(1, a), (1, a), (1, b), (2, b + " ba"), (5, a + " ba"), (5, c), (5, None), (7, d), (7, d), (8, " "), (8, "")]
+    kept = [(r.doc_id, r.text) for r in jaccard.clean(documents(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (5, c), (5, None), (7, d), (8, " "), (8, "")], key=str)
+
+
+def test_jaccard_a_large_group_of_near_copies(documents):
+    """More than a unit holds: pivots link most, the second round the rest."""
+    rng = random.Random(2)
+    base = [prose(rng, 80) for _ in range(3)]
+    rows = []
+    for i in range(330):
+        w = (base[i % 3] if i % 11 else prose(rng, 80)).split()
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        rows.append((i, " ".join(w[: rng.randint(70, 80)])))
+    for unit in (500, 2000):
+        out = jaccard.jaccard_components(documents(rows).repartition(5), unit=unit)
+        assert sorted(tuple(r) for r in out.collect()) == slow_components(rows)
+
+
 def test_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(8)
     for n in (20, 300, 5000):
