@@ -1,30 +1,38 @@
 """PII surrogates: keyed, type-consistent, distinct and coreferent replacements.
 
-Entities found: e-mail addresses, phone numbers, card-like digit runs, IBANs,
-US social security numbers, IPv4 addresses, assigned secrets, and person names
-(after a title, or a known given name before a capitalised word).
-
-Each type has a *bijection* on values of one format: characters of a class
-(digits, hex, small and capital letters of a script) are numbered in a mixed
-radix and the number goes through a keyed Feistel network with cycle walking.
-Distinct entities of a format therefore get distinct surrogates without any
-state shared between tasks, and the same entity gets the same one in every
-document.  Spelling variants (letter case of an address, separators of a number)
-are mapped by the bare value and put back.  Given names are permuted by key
-within the list of their gender and script; other names keep script and case.
-
-A document is checked for collisions: a surrogate that equals the value it
-replaces, an entity of the document, or another surrogate of it, is drawn again
-under the next tweak (``collisions`` counts these).
-
-Cases: null stays null, an empty text stays empty; repeated rows change alike;
-text outside entities is kept byte for byte.
+Entities found: e-mail addresses, phone numbers, card-like digit runs, IBANs, US social
+security numbers, IPv4 addresses, assigned secrets, and person names.  A name is what
+follows a title, a greeting or a field such as ``name:``; a listed given name and the
+capitalised word after it; the two words of an address's local part where they stand
+capitalised in the text; and every later mention of a surname found in one of these ways.
+
+Each type has a *bijection* on values of one format: characters of a class (digits, hex,
+small and capital letters of a script) are numbered in a mixed radix, and the number goes
+one step on along a keyed cycle through all numbers of its range (a Feistel network with
+cycle walking, one step, and the network backwards).  So distinct entities of a format get
+distinct surrogates without any state shared between tasks, however many stand in one
+document, no value is mapped to itself, and the same entity gets the same surrogate in
+every document.  Where a format asks for more (a card's check digit, a reserved exchange),
+the cycle is followed to the next value that has the property, which is a bijection again.
+Spelling variants (letter case of an address, separators of a number) are mapped by the
+bare value and put back.  Given names go along a keyed cycle of the list of their gender
+and script; other names keep script and case.
+
+Every document is checked for collisions: ``collisions`` counts distinct entities less
+distinct surrogates, and is 0.  A surrogate may equal another entity of the document, as
+with a document that holds a whole list of given names; that entity is replaced as well.
+
+Cases: null stays null, an empty text stays empty; a very long text is searched whole, in
+time in proportion to it; repeated rows change alike; text outside entities is kept byte
+for byte; a value without any letter or digit of a class stays; an empty table gives no
+rows; columns other than doc_id and text (in ``clean`` n_chars) are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,14 +42,20 @@ from .common import like_input, table
 KEY = b"strataq surrogate key: replace in production"
 SCHEMA = "doc_id long, text string, n_entities int, n_distinct int, kinds string, collisions int"
 
-# Given names by script and gender, and titles by gender.
+# Given names by script and gender, titles by gender, and words before a name.
 NAMES = {
-    ("latin", "f"): "Anna Maria Laura Julia Sarah Emma Sophie Claire Helena Lucia Elena Carmen Isabel Katharina Charlotte Margaret Elizabeth Susan Patricia Jennifer".split(),
-    ("latin", "m"): "John James Robert Michael William David Thomas Daniel Peter Paul Martin Stefan Hans Klaus Pierre Jean Carlos Miguel Antonio Francisco".split(),
+    ("latin", "f"): """Anna Maria Laura Julia Sarah Emma Sophie Claire Helena Lucia Elena Carmen Isabel Katharina Charlotte Margaret Elizabeth Susan Patricia
+        Jennifer Linda Barbara Jessica Karen Nancy Lisa Sandra Ashley Emily Michelle Amanda Melissa Rebecca Olivia Hannah Lena Sabine Ursula Monika Petra
+        Camille Juliette Nathalie Valentina Francesca Giulia Chiara Ana Marta Sofia Fatima Aisha Priya Mei""".split(),
+    ("latin", "m"): """John James Robert Michael William David Thomas Daniel Peter Paul Martin Stefan Hans Klaus Pierre Jean Carlos Miguel Antonio Francisco
+        Richard Joseph Charles Christopher Matthew Anthony Mark Steven Andrew Kevin Brian George Edward Jason Ryan Jacob Nicholas Eric Jonathan Wolfgang
+        Jürgen Dieter Matthias Antoine Nicolas Giovanni Marco Luca Pablo Javier Ahmed Mohammed Omar Raj Wei Hiroshi""".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Людмила".split(),
     ("cyrillic", "m"): "Иван Александр Сергей Дмитрий Андрей Алексей Михаил Николай Владимир Павел".split(),
 }
-TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Señora Sra Госпожа".split(), "m": "Mr Herr Monsieur Señor Sr Господин".split(), "": "Dr Prof".split()}
+TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Señora Sra Signora Lady Госпожа".split(), "m": "Mr Herr Monsieur Señor Sr Signor Sir Господин".split(), "": "Dr Prof Professor Doctor".split()}
+FIELDS = "name author contact signed attn owner sender recipient customer patient employee manager client applicant".split()
+GREETINGS = "Dear Hello Sincerely Regards Cheers Yours".split()
 OF_NAME = {name: group for group, names in NAMES.items() for name in names}
 CLASSES = [
     "0123456789",
@@ -52,15 +66,23 @@ CLASSES = [
     "".join(map(chr, range(0x430, 0x450))) + "ё",
     "".join(map(chr, range(0x410, 0x430))) + "Ё",
     "".join(c for c in map(chr, range(0x3B1, 0x3CA)) if c != "ς"),
+    "".join(c for c in map(chr, range(0x391, 0x3AA)) if c.isupper()),
+    "".join(c for c in map(chr, range(0x100, 0x180)) if c.islower() and len(c.upper()) == 1),
+    "".join(c for c in map(chr, range(0x100, 0x180)) if c.isupper() and len(c.lower()) == 1),
+    "".join(map(chr, range(0x5D0, 0x5EB))),
+    "".join(c for c in map(chr, range(0x621, 0x64B)) if c.isalpha() and c != "ـ"),
+    "".join(map(chr, range(0x905, 0x93A))),
+    "".join(map(chr, range(0xE01, 0xE2F))),
     "".join(map(chr, range(0x4E00, 0x9FA6))),
     "".join(map(chr, range(0x3041, 0x3097))),
     "".join(map(chr, range(0x30A1, 0x30FB))),
     "".join(map(chr, range(0xAC00, 0xD7A4))),
 ]
 HEX = "0123456789abcdef"
+HEX_ONLY = re.compile("[0-9a-f]+")
 PLACE = {c: (alphabet, i) for alphabet in CLASSES for i, c in enumerate(alphabet)}
 
-EMAIL = re.compile(r"[^\W_][\w.+-]*@[^\W_][\w-]*(?:\.[\w-]+)*\.[^\W\d_]{2,}")
+EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]*[^\W_][\w.+-]*@[^\W_][\w-]*(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 NUMERIC = re.compile(
     r"(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.]*\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
@@ -69,10 +91,14 @@ NUMERIC = re.compile(
 )
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")
 SECRET = re.compile(r"(?i)(?<![^\W_])(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd)[\"']?\s*[=:]\s*(?P<q>[\"']?)(?P<v>[^\s\"',;]{8,})(?P=q)")
-TITLED = re.compile(r"(?<!\w)(?P<t>%s)\.? (?P<a>[^\W\d_]+)(?: (?P<b>[^\W\d_]+))?" % "|".join(t for ts in TITLES.values() for t in ts))
-GIVEN = re.compile(r"(?<!\w)(?P<a>%s) (?P<b>[^\W\d_]{2,})(?!\w)" % "|".join(OF_NAME))
+TITLED = re.compile(r"(?<!\w)(?P<t>%s)\.? (?P<a>[^\W\d_]+)(?: (?P<b>[^\W\d_]+))?(?: (?P<c>[^\W\d_]+))?" % "|".join(t for ts in TITLES.values() for t in ts))
+GIVEN = re.compile(r"(?<!\w)(?P<a>%s) (?P<b>[^\W\d_]{2,})(?: (?P<c>[^\W\d_]{2,}))?(?!\w)" % "|".join(OF_NAME))
+FIELD = re.compile(r"(?i:(?<![^\W_])(?:%s))[\"']?\s{0,4}[:=]\s{0,4}[\"']?(?P<a>[^\W\d_]{2,}) (?P<b>[^\W\d_]{2,})(?: (?P<c>[^\W\d_]{2,}))?(?!\w)" % "|".join(FIELDS))
+GREETED = re.compile(r"(?<!\w)(?:%s),?\s{1,4}(?P<a>[^\W\d_]{2,})(?: (?P<b>[^\W\d_]{2,}))?(?!\w)" % "|".join(GREETINGS))
+PAIR = re.compile(r"(?<!\w)(?P<a>[^\W\d_]+) (?=(?P<b>[^\W\d_]+)(?!\w))")
 WORD = re.compile(r"\w+")
 ALL_TITLES = frozenset(t for ts in TITLES.values() for t in ts)
+FIELD_WORDS, GREETING_WORDS = frozenset(FIELDS), frozenset(GREETINGS)
 
 
 class Cipher:
@@ -86,19 +112,27 @@ class Cipher:
         out = b"".join(hashlib.blake2b(b"%d.%d|%x|%s" % (i, j, x, tweak), key=self.key, digest_size=min(64, size)).digest() for j in range(-(-size // 64)))
         return int.from_bytes(out, "big") & ((1 << bits) - 1)
 
-    def permute(self, x: int, n: int, tweak: bytes) -> int:
-        if n < 2:
-            return x
-        half = max(1, ((n - 1).bit_length() + 1) // 2)
-        mask = (1 << half) - 1
+    def _walk(self, x: int, n: int, half: int, tweak: bytes, rounds) -> int:
+        mask, back = (1 << half) - 1, rounds.step < 0
         while True:
             a, b = x >> half, x & mask
-            for i in range(8):
-                a, b = b, a ^ self._round(tweak, i, b, half)
+            for i in rounds:
+                a, b = (b ^ self._round(tweak, i, a, half), a) if back else (b, a ^ self._round(tweak, i, b, half))
             x = a << half | b
             if x < n:
                 return x
 
+    def permute(self, x: int, n: int, tweak: bytes, back: bool = False) -> int:
+        """A keyed permutation of range(n), or the way back."""
+        if n < 2:
+            return x
+        half = max(1, ((n - 1).bit_length() + 1) // 2)
+        return self._walk(x, n, half, tweak, range(7, -1, -1) if back else range(8))
+
+    def step(self, x: int, n: int, tweak: bytes) -> int:
+        """The next number on one keyed cycle through range(n): a permutation that moves every number."""
+        return self.permute((self.permute(x, n, tweak) + 1) % n, n, tweak, back=True)
+
     def text(self, value: str, tweak: bytes, alphabet: str | None = None) -> str:
         """A value of the same format; characters of no class stay."""
         spots = [(i, *((alphabet, alphabet.index(c)) if alphabet else PLACE[c])) for i, c in enumerate(value) if (c in alphabet if alphabet else c in PLACE)]
@@ -106,7 +140,7 @@ class Cipher:
         for _, letters, k in spots:
             x, n = x * len(letters) + k, n * len(letters)
         shape = "".join("x" if alphabet and c in alphabet else str(CLASSES.index(PLACE[c][0])) + "," if not alphabet and c in PLACE else c for c in value)
-        x = self.permute(x, n, tweak + b"|" + shape.encode("utf-8", "surrogatepass"))
+        x = self.step(x, n, tweak + b"|" + shape.encode("utf-8", "surrogatepass"))
         out = list(value)
         for i, letters, _ in reversed(spots):
             x, k = divmod(x, len(letters))
@@ -147,9 +181,9 @@ class Surrogates:
             low = value
         local, _, domain = low.partition("@")
         head, *tail = domain.split(".")
-        reserved = [".".join(tail[-2:]), tail[-1]]
-        if any(x in ("example.com", "example.net", "example.org", "example", "test", "invalid") for x in reserved):
-            new = self.cipher.text(head, b"host" + tweak) + "." + ".".join(tail) if ".".join(tail) else head
+        # reserved domains keep their end; no other address is given an end that they have
+        if ".".join(tail[-2:]) in ("example.com", "example.net", "example.org") or tail[-1] in ("test", "invalid"):
+            new = self.cipher.text(head, b"host" + tweak) + "." + ".".join(tail)
         else:
             new = self.cipher.text(".".join([head, *tail[:-1]]), b"host" + tweak) + "." + tail[-1] + ".example"
         out = self.cipher.text(local, b"local" + tweak + domain.encode("utf-8", "surrogatepass")) + "@" + new
@@ -187,20 +221,24 @@ class Surrogates:
 
     def ip(self, value: str, tweak: bytes) -> str:
         x = int.from_bytes(bytes(map(int, value.split("."))), "big")
-        return ".".join(map(str, self.cipher.permute(x, 1 << 32, b"ip" + tweak).to_bytes(4, "big")))
+        return ".".join(map(str, self.cipher.step(x, 1 << 32, b"ip" + tweak).to_bytes(4, "big")))
 
     def secret(self, value: str, tweak: bytes) -> str:
-        return self.cipher.text(value, b"secret" + tweak, HEX if re.fullmatch(r"[0-9a-f]+", value) else None)
+        if HEX_ONLY.fullmatch(value):
+            return self.cipher.text(value, b"secret" + tweak, HEX)
+        while HEX_ONLY.fullmatch(value := self.cipher.text(value, b"secret" + tweak)):
+            pass  # on to the next value that is no hex number
+        return value
 
     def given(self, value: str, tweak: bytes) -> str:
         names = NAMES[OF_NAME[value]]
-        return names[self.cipher.permute(names.index(value), len(names), b"given" + repr(OF_NAME[value]).encode() + tweak)]
+        return names[self.cipher.step(names.index(value), len(names), b"given" + repr(OF_NAME[value]).encode() + tweak)]
 
     def surname(self, value: str, tweak: bytes) -> str:
         return self.cipher.text(value, b"surname" + tweak)
 
-    def make(self, kind: str, value: str, attempt: int) -> str:
-        return getattr(self, kind)(value, b"|%d|" % attempt)
+    def make(self, kind: str, value: str) -> str:
+        return getattr(self, kind)(value, b"|")
 
 
 def canonical(kind: str, value: str) -> str:
@@ -211,65 +249,92 @@ def canonical(kind: str, value: str) -> str:
     return value.replace(" ", "") if kind == "iban" else value
 
 
+ORDER = ("secret", "email", "iban", "ip", "ssn", "phone", "card", "given", "surname")
+
+
+def _person(m: re.Match, parts: str) -> list[tuple[int, int, str]]:
+    """The capitalised words of a name, up to the first other one."""
+    out = []
+    for part in parts:
+        word = m[part]
+        if not word or not word[0].isupper() or word in ALL_TITLES:
+            break
+        out.append((*m.span(part), "given" if word in OF_NAME else "surname"))
+    return out
+
+
+def _names(text: str, addresses: list[str]) -> list[tuple[int, int, str]]:
+    words = set(WORD.findall(text))  # runs that the patterns cannot start inside of
+    found: list[tuple[int, int, str]] = []
+    if not ALL_TITLES.isdisjoint(words):
+        for m in TITLED.finditer(text):
+            found += _person(m, "abc" if m["b"] in OF_NAME else "ab")
+    if not words.isdisjoint(OF_NAME):
+        for m in GIVEN.finditer(text):
+            if m["b"][0].isupper():
+                found += _person(m, "abc" if m["b"] in OF_NAME else "ab")
+    if (":" in text or "=" in text) and not FIELD_WORDS.isdisjoint(w.lower() for w in words):
+        for m in FIELD.finditer(text):
+            if m["a"][0].isupper() and m["b"][0].isupper():
+                found += _person(m, "abc")
+    if not GREETING_WORDS.isdisjoint(words):
+        for m in GREETED.finditer(text):
+            found += _person(m, "ab")
+    owners = {tuple(w.capitalize() for w in re.split(r"[\W\d_]+", x) if len(w) > 1) for x in addresses}
+    if owners := {x for x in owners if len(x) == 2 and words.issuperset(x)}:
+        found += [x for m in PAIR.finditer(text) if (m["a"], m["b"]) in owners for x in _person(m, "ab")]
+    later = {text[a:b] for a, b, kind in found if kind == "surname" and b - a > 2}
+    if later:
+        found += [(*m.span(), "surname") for m in WORD.finditer(text) if m[0] in later]
+    return found
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of entities, in order and apart from each other."""
     found: list[tuple[int, int, str]] = []
+    addresses: list[str] = []
     if "@" in text:
-        found += [(*m.span(), "email") for m in EMAIL.finditer(text)]
+        for m in EMAIL.finditer(text):
+            bare = m[0].lstrip("_.+-")
+            found.append((m.end() - len(bare), m.end(), "email"))
+            addresses.append(bare.partition("@")[0])
     if re.search(r"\d\d", text) or re.search(r"\d\.\d", text):
         found += [(*m.span(), m.lastgroup) for m in NUMERIC.finditer(text)]
         found += [(*m.span(), "iban") for m in IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and _iban_ok(m[0].replace(" ", ""))]
     if "=" in text or ":" in text:
         found += [(*m.span("v"), "secret") for m in SECRET.finditer(text)]
-    words = set(WORD.findall(text))  # runs that the patterns below cannot start inside of
-    if not ALL_TITLES.isdisjoint(words):
-        for m in TITLED.finditer(text):
-            for part in "ab":
-                if m[part] and m[part][0].isupper() and m[part] not in ALL_TITLES:
-                    found.append((*m.span(part), "given" if m[part] in OF_NAME else "surname"))
-                else:
-                    break
-    if not words.isdisjoint(OF_NAME):
-        for m in GIVEN.finditer(text):
-            if m["b"][0].isupper():
-                found += [(*m.span("a"), "given"), (*m.span("b"), "given" if m["b"] in OF_NAME else "surname")]
-    out: list[tuple[int, int, str]] = []
-    order = ("secret", "email", "iban", "ip", "ssn", "phone", "card", "given", "surname")
-    taken: list[tuple[int, int]] = []
-    for a, b, kind in sorted(set(found), key=lambda x: (order.index(x[2]), x[0], -x[1])):
-        if all(b <= s or a >= e for s, e in taken):
-            taken.append((a, b))
-            out.append((a, b, kind))
-    return sorted(out)
+    found += _names(text, addresses)
+    starts: list[int] = []  # of what is taken, in order: only the neighbours can overlap
+    taken: dict[int, tuple[int, str]] = {}
+    for a, b, kind in sorted(set(found), key=lambda x: (ORDER.index(x[2]), x[0], -x[1])):
+        at = bisect_right(starts, a)
+        if (at and taken[starts[at - 1]][0] > a) or (at < len(starts) and starts[at] < b):
+            continue
+        starts.insert(at, a)
+        taken[a] = b, kind
+    return [(a, *taken[a]) for a in starts]
 
 
 def replace(text: str | None, surrogates: Surrogates) -> tuple[str | None, list[tuple[str, str, str]], int]:
-    """New text, (kind, value, surrogate) of each place, and the collisions redrawn."""
+    """New text, (kind, value, surrogate) of each place, and distinct entities that share a surrogate."""
     if not text:
         return text, [], 0
     places = find(text)
     if not places:
         return text, [], 0
-    real = {(k, canonical(k, text[a:b])) for a, b, k in places}
-    attempts: dict[tuple[str, str], int] = {}
-    used: set[tuple[str, str]] = set()
-    redrawn = 0
-    for kind, value in sorted(real):
-        for attempt in range(64):
-            new = (kind, canonical(kind, surrogates.make(kind, value, attempt)))
-            # a document may use up a whole list of names; then they only stay distinct
-            if new not in used and (new not in real or attempt >= 32):
-                break
-        redrawn += attempt
-        attempts[kind, value] = attempt
-        used.add(new)
+    made: dict[tuple[str, str], str] = {}
+    real: dict[tuple[str, str], str] = {}
     parts, at, log = [], 0, []
     for a, b, kind in places:
-        new = surrogates.make(kind, text[a:b], attempts[kind, canonical(kind, text[a:b])])
+        value = text[a:b]
+        if (kind, value) not in made:
+            made[kind, value] = surrogates.make(kind, value)
+            real[kind, canonical(kind, value)] = canonical(kind, made[kind, value])
+        new = made[kind, value]
         parts += [text[at:a], new]
-        log.append((kind, text[a:b], new))
+        log.append((kind, value, new))
         at = b
-    return "".join(parts) + text[at:], log, redrawn
+    return "".join(parts) + text[at:], log, len(real) - len({(k, new) for (k, _), new in real.items()})
 
 
 def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -280,8 +345,8 @@ def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf.doc_id, pdf.text):
-                new, log, redrawn = replace(text, made)
-                rows.append((doc, new, len(log), len({x[:2] for x in log}), ",".join(sorted({x[0] for x in log})), redrawn))
+                new, log, clashes = replace(text, made)
+                rows.append((doc, new, len(log), len({x[:2] for x in log}), ",".join(sorted({x[0] for x in log})), clashes))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "n_entities", "n_distinct", "kinds", "collisions"]).astype({"doc_id": "Int64", "n_entities": "int32", "n_distinct": "int32", "collisions": "int32"})
 
     return docs.select("doc_id", "text").mapInPandas(step, SCHEMA)

@@ -80,6 +80,21 @@ def test_mixing_odd_inputs(documents):
     assert "size" in kept.columns and kept.count() >= 3
 
 
+def test_taken_rows_share_what_repeated_rows_got(documents):
+    rng = random.Random(8)
+    rows = [(i % 40 if i % 2 else 1000 + i, prose(rng, 7), f"s{i % 3}") for i in range(240)] + [(None, prose(rng, 4), None)] * 30
+    docs = documents(rows).repartition(5).withColumn("mix_size", F.lit("clash")).withColumn("task_of_row", F.lit(1))
+    want = {(r.doc_id, r.source, r.size): r.c for r in mixing.copies(mixing.sizes(docs)).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("c")).collect() if r.c and r.size}
+    for most in (1_000_000, 0):
+        got = {}
+        for r in mixing.taken_rows(docs, most_rows=most).collect():
+            assert r.mix_taken == r.mix_size * r.mix_copies > 0 and r.mix_size == len(r.text.split())
+            k = (r.doc_id, r.source, r.mix_size)
+            got[k] = got.get(k, 0) + r.mix_copies
+        assert got == want
+    assert mixing.taken_rows(documents([])).count() == 0
+
+
 # --- 2 audio
 
 
@@ -356,9 +371,9 @@ def test_pii_finds_names_after_any_sign(text):
 def test_pii_is_distinct_coreferent_and_of_one_format(documents):
     made = pii.Surrogates(b"k")
     cards = [f"{4000000000000000 + i}" for i in range(300)]
-    new = [made.make("card", c, 0) for c in cards]
+    new = [made.make("card", c) for c in cards]
     assert len(set(new)) == 300 and all(pii.luhn(a) == pii.luhn(b) for a, b in zip(cards, new))
-    assert len({made.make("given", n, 0) for n in pii.NAMES["latin", "f"]}) == len(pii.NAMES["latin", "f"])
+    assert len({made.make("given", n) for n in pii.NAMES["latin", "f"]}) == len(pii.NAMES["latin", "f"])
     text = "Mrs Anna Weiß (Anna.W@Mail.example.com, +1 (017) 555-7713) wrote; anna.w@mail.example.com, +10175557713, 10.0.0.1, token = \"ab12cd34ab12\""
     out, log, _ = pii.replace(text, made)
     by = {}
@@ -381,6 +396,38 @@ def test_cipher_is_a_permutation():
     c = pii.Cipher(b"x")
     for n in (1, 2, 7, 100, 1000):
         assert sorted(c.permute(i, n, b"t") for i in range(n)) == list(range(n))
+        assert all(c.permute(c.permute(i, n, b"t"), n, b"t", back=True) == i for i in range(n))
+        moved = [c.step(i, n, b"t") for i in range(n)]
+        assert sorted(moved) == list(range(n)) and (n == 1 or all(a != i for i, a in enumerate(moved)))
+
+
+def test_pii_stays_distinct_when_a_whole_list_of_names_is_used():
+    """Of every subset of a list, by brute force: no two people become one, none keeps the name."""
+    made, rng = pii.Surrogates(b"k"), random.Random(5)
+    for names in pii.NAMES.values():
+        for k in (len(names), len(names) - 1, len(names) // 2):
+            some = rng.sample(names, k)
+            text = "; ".join(f"{n} Nowak" for n in some)
+            out, log, clashes = pii.replace(text, made)
+            new = [x for kind, _, x in log if kind == "given"]
+            assert clashes == 0 and len(set(new)) == k and set(new) <= set(names) and all(a != b for kind, a, b in log)
+    one, two = (pii.replace(t, made)[1] for t in ("Dr. Anna Kern and Maria Kern", "Mr. Paul Kern, Anna Kern, Helena Kern"))
+    assert dict((a, b) for _, a, b in one)["Anna"] == dict((a, b) for _, a, b in two)["Anna"]
+    many = [made.make("secret", f"{x:08x}") for x in range(400)] + [made.make("secret", f"zz{x:06d}") for x in range(400)]
+    assert len(set(many)) == 800
+    mails = [f"u{i}@{d}" for i in range(50) for d in ("mail.example.com", "example.com", "shop.com", "a.example", "b.test")]
+    assert len({made.make("email", m) for m in mails}) == len(mails)
+
+
+def test_pii_finds_names_outside_the_lists():
+    text = 'Dear Ilse, "author": "Zora Quandt", bo.stern@corp.de is Bo Stern. Mrs Anna Maria Lopez. Later Quandt, Lopez and Stern met.'
+    out, log, _ = pii.replace(text, pii.Surrogates(b"k"))
+    assert not any(re.search(rf"\b{n}\b", out) for n in ("Ilse", "Zora", "Quandt", "Stern", "Lopez", "Bo"))
+    of = {}
+    for kind, a, b in log:
+        assert of.setdefault((kind, a), b) == b and a != b
+    long = "x" * 50_000 + "@ " + " ".join(f"a{i}@b.example.com" for i in range(3000))
+    assert len(pii.find(long)) == 3000
 
 
 # --- 10 n-gram Jaccard join
