@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import SPACED_RE, Store, table
 
 WEIGHTS, SHARE, MOST, BLOCK, SEED = (3, 1, 2), 1.5, 2.0, 4096, 29
+KEPT = 1_000_000  # decisions that are broadcast to the rows they were made for
+TAKEN = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
 EPS = 1e-9
 
 
@@ -162,22 +164,52 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
-def taken_rows(docs: DataFrame, **options) -> DataFrame:
+def _fresh(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def taken_rows(docs: DataFrame, most_rows: int = KEPT, **options) -> DataFrame:
     """The rows of ``docs`` of which words are taken: all columns, and the mix's.
 
-    Rows are found again by their id and a digest of what is drawn by, so rows
-    that repeat an id exactly share one number of copies: the sum of what they got.
+    Rows are found again by their id, source and size.  Where these name one row, what the
+    mix decided is broadcast to the rows (up to ``most_rows`` decisions of about 60 bytes;
+    more are joined by shuffle), so texts stay where they are.  Rows that repeat all three
+    share the copies they got together: each has its whole part, and the first ones by
+    task and text the rest, numbered inside tasks, so a row repeated very often is many
+    groups.  Columns of ``docs`` named like the mix's give way to them.
     """
-    mixed = copies(sizes(docs), **options).where("copies > 0 AND size > 0")
-    mixed = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
-        F.first("source_size").alias("mix_source_size"), F.first("target").alias("mix_target"), F.sum("copies").cast("int").alias("mix_copies")
-    )
-    size = F.coalesce(F.regexp_count("text", F.lit(SPACED_RE)), F.lit(0)).cast("long")
-    known = docs.withColumn("mix_size", size)
-    match = known.doc_id.eqNullSafe(mixed._id) & known.source.eqNullSafe(mixed._source) & (known.mix_size == mixed._size)
-    return known.join(mixed.hint("shuffle_hash"), match).select(
-        *docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies", (F.col("mix_size") * F.col("mix_copies")).alias("mix_taken")
-    )
+    store = Store(docs.sparkSession, "mixing-taken")
+    mixed = copies(sizes(docs), **options)
+    key = [F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")]
+    plan = mixed.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("copies").alias("_c"), F.first("source_size").alias("_source_size"), F.first("target").alias("_target"))
+    plan = store.put(plan.where("_c > 0 AND _size > 0"))
+    n_one, n_many = plan.agg(F.count_if(F.col("_n") == 1), F.count_if(F.col("_n") > 1)).first()
+    size, columns = _fresh(docs, "size_of_text"), [c for c in docs.columns if c not in TAKEN]
+    known = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(SPACED_RE)), F.lit(0)).cast("long"))
+
+    def found(rows, n):
+        match = known.doc_id.eqNullSafe(rows._doc_id) & known.source.eqNullSafe(rows._source) & (known[size] == rows._size)
+        return known.join(F.broadcast(rows) if n <= most_rows else rows.hint("shuffle_hash"), match)
+
+    def shaped(rows, n):
+        return rows.select(*columns, F.col(size).alias("mix_size"), F.col("_source_size").alias("mix_source_size"), F.col("_target").alias("mix_target"), n.cast("int").alias("mix_copies"), (F.col(size) * n).alias("mix_taken"))
+
+    one = shaped(found(plan.where("_n = 1"), n_one), F.col("_c"))
+    if not n_many:
+        return one
+    task, at, before = (_fresh(docs, c) for c in ("task_of_row", "place_of_row", "rows_before"))
+    many = store.put(found(plan.where("_n > 1"), n_many).withColumn(task, F.spark_partition_id()))
+    names = ["_doc_id", "_source", "_size"]
+    cells = many.groupBy(*names, task).agg(F.count("*").alias("k"))  # one row for each key and task
+    cells = cells.select(*[F.col(c).alias(f"c{c}") for c in names], F.col(task).alias("c_task"), (F.sum("k").over(Window.partitionBy(*names).orderBy(task)) - F.col("k")).alias(before))
+    cells = store.put(cells)
+    inside = Window.partitionBy(*names, task).orderBy(F.xxhash64("text"))
+    match = F.col("_doc_id").eqNullSafe(F.col("c_doc_id")) & F.col("_source").eqNullSafe(F.col("c_source")) & (F.col("_size") == F.col("c_size")) & (F.col(task) == F.col("c_task"))
+    numbered = many.withColumn(at, F.row_number().over(inside)).join(cells, match)
+    share = F.floor(F.col("_c") / F.col("_n")) + (F.col(before) + F.col(at) <= F.col("_c") % F.col("_n")).cast("int")
+    return one.unionByName(shaped(numbered, share).where("mix_copies > 0"))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
