@@ -262,7 +262,7 @@ def test_toxicity_held_out_accuracy(spark, documents):
 def test_preferences_prefix_masks_and_pairs(spark):
     a = [("user", "hi"), ("assistant", "yes"), ("user", "more"), ("assistant", "good")]
     b = [*a[:3], ("assistant", "bad")]
-    assert preferences.split_pair(a, b) == 3 and preferences.split_pair(a, a) == 3 and preferences.split_pair(a, a[:2]) == 1
+    assert preferences.split_pair(a, b) == 3 and preferences.split_pair(a, a) == 4 and preferences.split_pair(a, a[:2]) == 2
     text, spans = preferences.masked(a[3:])
     assert [text[x:y] for x, y in spans] == ["good<|end|>\n"]
     rows = [(c, t, r, x) for c, turns in ((1, a), (2, b), (3, [("user", "alone")])) for t, (r, x) in enumerate(turns)]
@@ -271,9 +271,45 @@ def test_preferences_prefix_masks_and_pairs(spark):
     out = {r.chosen_id: r for r in preferences.format_pairs(preferences.pair_up(preferences.conversations(table))).collect()}
     assert set(out) == {1, 3, 4} and out[1].rejected_id == 2 and out[1].n_common == 3
     assert out[1].prompt == preferences.render(a[:3]) and "bad" in out[1].rejected and out[3].rejected is None
+    assert out[3].prompt == "" and out[3].chosen == preferences.render([("user", "alone")])
     assert preferences.pair_up(preferences.conversations(table.limit(0))).count() == 0
 
 
+def slow_pairs(rows, bin_size=64):
+    """Pairs of the query by plain rules: prefix, masks and choice, given which ids are paired."""
+    convs = {}
+    for c, t, r, x in rows:
+        if c is not None:
+            convs.setdefault(c, set()).add((t, r or "user", x or ""))
+    return {c: [(r, x) for _, r, x in sorted(v, key=lambda y: (y[0], y[1].encode(), y[2].encode()))] for c, v in convs.items()}
+
+
+def test_preferences_query_equals_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for c in range(90):
+        turns = [("user", rng.choice(["hi", "hello", "é" * 3])), ("assistant", rng.choice(["yes", "no", ""])), ("user", rng.choice(["more", None])), ("assistant", "w" * rng.choice([1, 1, 5, 20_000]))][: rng.randint(1, 4)]
+        rows += [(c, t, r, x) for t, (r, x) in enumerate(turns)] * rng.choice([1, 1, 2])
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("first", F.lit(1)).withColumn("n", F.lit("x"))
+    convs = slow_pairs(rows)
+    out = preferences.format_pairs(preferences.pair_up(preferences.conversations(table), bin_size=8)).collect()
+    assert sorted(x for r in out for x in (r.chosen_id, r.rejected_id) if x is not None) == sorted(convs)
+    voice = lambda c: sum(len(x) for r, x in convs[c] if r == "assistant")
+    for r in out:
+        c, d = convs[r.chosen_id], convs.get(r.rejected_id)
+        n = 0
+        while d is not None and n < min(len(c), len(d)) and c[n] == d[n]:
+            n += 1
+        assert (r.n_common, r.prompt) == (n, preferences.render(c[:n])) and r.prompt + r.chosen == preferences.render(c)
+        assert [r.chosen[a:b] for a, b in r.chosen_mask] == [x + "<|end|>\n" for role, x in c[n:] if role == "assistant"]
+        if d is None:
+            assert r.rejected is None and r.rejected_mask is None
+            continue
+        assert c[0] == d[0] and r.prompt + r.rejected == preferences.render(d)
+        assert [r.rejected[a:b] for a, b in r.rejected_mask] == [x + "<|end|>\n" for role, x in d[n:] if role == "assistant"]
+        assert (-voice(r.chosen_id), r.chosen_id) < (-voice(r.rejected_id), r.rejected_id)  # equal voices: the lower id
+
+
 def test_preferences_split_a_hot_first_turn(spark):
     rows = [(c, t, r, f"{t}" if t == 0 else f"{t}.{c}") for c in range(300) for t, r in ((0, "user"), (1, "assistant"))]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
