@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -143,8 +144,23 @@ def test_audio_query(documents):
         padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(padded))
         assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-64:])
+        # the stored forms, byte by byte, and the feature from plain loops
+        codec = ("mulaw", "alaw", "ima_adpcm")[zlib.crc32(padded) % 3]
+        blocks = [b"\0\0\x28\0" + padded[i : i + 64] for i in range(0, len(padded), 64)]
+        adpcm = codec == "ima_adpcm"
+        data = b"".join(blocks) if adpcm else padded
+        fmt = struct.pack("<HHIIHHHH", 17, 1, 8000, 8000 * 68 // 129, 68, 4, 2, 129) if adpcm else struct.pack("<HHIIHH", {"mulaw": 7, "alaw": 6}[codec], 1, 8000, 8000, 1, 8)
+        wave = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data
+        wave = b"RIFF" + struct.pack("<I", len(wave)) + wave
+        assert (r.codec, r.media_bytes, r.media_sha256) == (codec, len(wave), hashlib.sha256(wave).hexdigest())
+        if len(padded) < 1000:
+            pcm = [x for b in blocks for x in slow_adpcm(b)] if adpcm else [int((audio.MULAW if codec == "mulaw" else audio.ALAW)[x]) for x in padded]
+            wide = [y for a, b in zip(pcm, [*pcm[1:], pcm[-1]]) for y in (a, (a + b) >> 1)]
+            rms, turns = math.sqrt(sum(x * x for x in wide) / len(wide)), sum((a < 0) != (b < 0) for a, b in zip(wide, wide[1:]))
+            assert r.feature == f"{len(wide)}|{max(map(abs, wide))}|{rms:.3f}|{turns}|{zlib.crc32(struct.pack(f'<{len(wide)}h', *wide)):08x}" and r.pcm_bytes == 44 + 2 * len(wide)
     same = out[out.n_bytes == 3]
     assert len(same) == 3 and same.feature.nunique() == 1
+    assert audio.digests(rows.withColumn("media", F.lit(1)).withColumn("pcm", F.lit("x"))).count() == 9
     assert audio.digests(documents([])).count() == 0
     media = rows.sparkSession.createDataFrame([(1, audio.store(b"ab" * 32, "alaw")), (2, None)], "doc_id long, media binary")
     pcm = audio.resampled(media).toPandas()
