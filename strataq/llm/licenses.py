@@ -3,20 +3,22 @@
 Base: places where the words of a phrase stand next to each other (``mit
 license``, ``apache license``, ``general public license``).
 
-Method: of every template the rarest words (by inverse document frequency among
-the templates) are anchors, one more of them than words that a match may miss, so
-that every match has an anchor in its place.  Every occurrence of an anchor votes
-for the place in the file at which the template would begin (its own position less
-the posting's), which intersects the postings by relative position.  A template is
-found at a place if at least ``LEAST`` of its words stand where they should and one
-of its mandatory key phrases lies inside.  The score is the best share of words.
+Method: inverse document frequency is counted over a corpus of licence notices.  Of every
+notice the words of highest IDF that are no function words are anchors, one more of them
+than words that a match may miss, so that every match has an anchor in its place.  Every
+occurrence of an anchor votes for the place in the file at which the notice would begin
+(its own position less the posting's), which intersects the postings by relative
+position.  A notice is found at a place if at least ``LEAST`` of its words stand where they
+should and all its mandatory key phrases lie inside.  The score is the best share of words.
 
 The index is a literal of fixed size inside the expression.  Only texts that have
-every word of some phrase, as substrings, are split; words are an array inside the
-row: there is no shuffle, no Python, and a file of any length is one row.
+every word of the key phrases of some notice, as substrings, are split; words are an array
+inside the row: there is no shuffle, no Python, and a file of any length is one row.
 
 Cases: null and wordless texts have no words, null places, empty labels and
-score 0; repeated rows are judged one by one; other columns are not read.
+score 0; a very long text is scanned whole; of several places of a notice, and of notices
+with one label, the best share counts; repeated rows are judged one by one; an empty table
+gives no rows; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,41 +30,76 @@ from pyspark.sql import DataFrame
 
 from .common import LOWER, UPPER, table
 
-# Opening words of public license notices, and key phrases.
+# Words of public licence notices as they stand in files, and key phrases that must all be there.
 TEMPLATES = {
     "apache": ("licensed under the apache license version 2 0", ["apache license"]),
+    "apache-grant": ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ["apache license", "except in compliance with the license"]),
+    "apache-terms": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["agreed to in writing", "as is basis"]),
     "mit": ("released under the mit license", ["mit license"]),
     "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted free of charge"]),
+    "mit-warranty": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ["the software is provided as is", "noninfringement"]),
     "gpl": ("this work is licensed under the gnu general public license version 3", ["general public license"]),
-    "cc-by-nc": ("licensed under cc by nc 4 0", ["cc by nc"]),
-    "cc-by-sa": ("licensed under cc by sa 4 0", ["cc by sa"]),
+    "gpl-grant": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license", "free software foundation"]),
+    "gpl-warranty": ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ["in the hope that it will be useful", "general public license"]),
+    "lgpl": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["lesser general public license"]),
+    "agpl": ("you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ["affero general public license"]),
+    "fdl": ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", ["free documentation license"]),
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ["source and binary forms"]),
-    "mpl": ("this source code form is subject to the terms of the mozilla public license", ["mozilla public license"]),
+    "bsd-source": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    "bsd-endorse": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products", "specific prior written permission"]),
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
+    "isc-warranty": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ["author disclaims all warranties"]),
+    "mpl": ("this source code form is subject to the terms of the mozilla public license", ["mozilla public license"]),
+    "epl": ("this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at", ["eclipse public license", "accompanying materials"]),
+    "cddl": ("the contents of this file are subject to the terms of the common development and distribution license", ["common development and distribution license"]),
+    "unlicense": ("this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
+    "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["possible under law", "neighboring rights"]),
+    "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
+    "cc-by-sa": ("licensed under cc by sa 4 0", ["cc by sa"]),
+    "cc-by-sa-text": ("this work is licensed under a creative commons attribution sharealike 4 0 international license", ["attribution sharealike"]),
+    "cc-by-nc": ("licensed under cc by nc 4 0", ["cc by nc"]),
+    "cc-by-nc-text": ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["attribution noncommercial"]),
+    "cc-by-nd": ("this work is licensed under a creative commons attribution noderivatives 4 0 international license", ["attribution noderivatives"]),
+    "zlib": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ["alter it and redistribute it freely"]),
+    "boost": ("distributed under the boost software license version 1 0 see accompanying file or copy at", ["boost software license"]),
+    "artistic": ("this is free software you can redistribute it and or modify it under the terms of the artistic license 2 0", ["artistic license"]),
+    "ofl": ("this font software is licensed under the sil open font license version 1 1", ["open font license"]),
+    "wtfpl": ("everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ["verbatim or modified copies"]),
+    "postgresql": ("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", ["without a written agreement"]),
+    "psf": ("this license agreement is between the python software foundation and the individual or organization accessing and otherwise using this software", ["python software foundation", "accessing and otherwise using"]),
+    "eupl": ("licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl", ["european commission", "subsequent versions of the eupl"]),
+    "ms-pl": ("this license governs use of the accompanying software if you use the software you accept this license", ["license governs use of the accompanying software"]),
+    "proprietary": ("all rights reserved unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential", ["unauthorized copying", "proprietary and confidential"]),
 }
+#: Function words, never anchors.
+STOP = frozenset("a all an and any are as at be but by for from has if in is it its may nor not of on or other so that the their then there they this to under use used was which will with you your".split())
+PARTS = ("-text", "-grant", "-terms", "-warranty", "-source", "-endorse")
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: LOOKUPS, words of a file that vote, holds in the SQL twin only; here all anchors vote.
-LOOKUPS, LEAST = 4, 0.75
-#: More than there are templates, and words of one.
+LEAST = 0.75
+#: More than there are notices, and words of one.
 SPAN = 64
-#: Below this frequency a word is no anchor: it stands in too many templates.
-RARE = 3
+
+
+def label_of(name: str) -> str:
+    for part in PARTS:
+        name = name.removesuffix(part)
+    return name
 
 
 def idf() -> dict[str, int]:
-    """Rank of a word: 1000 * ln(templates / templates with the word), rounded."""
+    """1000 * ln(notices / notices with the word), rounded."""
     df = Counter(w for text, _ in TEMPLATES.values() for w in set(text.split()))
-    return {w: round(1000 * math.log(len(TEMPLATES) / k)) for w, k in df.items() if k < RARE}
+    return {w: round(1000 * math.log(len(TEMPLATES) / k)) for w, k in df.items()}
 
 
 def anchors() -> dict[str, list[tuple[int, int]]]:
-    """Postings (template, position) of the anchor words."""
+    """Postings (notice, position) of the anchor words."""
     rank, out = idf(), {}
     for t, (text, _) in enumerate(TEMPLATES.values()):
         words = text.split()
-        missing = len(words) - min(k for k in range(len(words) + 1) if k / len(words) >= LEAST)
-        rare = sorted((p for p, w in enumerate(words) if w in rank), key=lambda p: (-rank[words[p]], -len(words[p]), p))
-        assert len(rare) > missing
+        missing = len(words) - math.ceil(LEAST * len(words))
+        rare = sorted((p for p, w in enumerate(words) if w not in STOP), key=lambda p: (-rank[words[p]], -len(words[p]), p))
+        assert len(rare) > missing and len(words) < SPAN
         for p in rare[: missing + 1]:
             out.setdefault(words[p], []).append((t, p))
     return out
@@ -81,11 +118,13 @@ def scan(docs: DataFrame) -> DataFrame:
     posts = "array(" + ", ".join("array(" + ", ".join(f"named_struct('t', {t}, 'p', {p})" for t, p in found) + ")" for _, found in index) + ")"
     texts = "array(" + ", ".join(_sql_array(TEMPLATES[n][0].split()) for n in names) + ")"
     keys = "array(" + ", ".join(_sql_array([f" {k} " for k in TEMPLATES[n][1]]) for n in names) + ")"
-    labels = _sql_array([n.removesuffix("-text") for n in names])
+    labels = _sql_array([label_of(n) for n in names])
     word, any_case = r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-    # a label needs a key phrase, and a phrase needs each of its words somewhere
-    phrases = sorted({k for _, found in TEMPLATES.values() for k in found} | set(BASE))
-    maybe = " OR ".join("(" + " AND ".join(f"contains(l, '{w}')" for w in sorted(set(k.split()), key=lambda w: (-len(w), w))) + ")" for k in phrases)
+    # a label needs its key phrases, and a phrase needs each of its words somewhere
+    rank = idf()
+    needed = {frozenset(w for k in keys for w in k.split()) for _, keys in TEMPLATES.values()} | {frozenset(k.split()) for k in BASE}
+    needed = {x for x in needed if not any(y < x for y in needed)}  # the weaker condition covers it
+    maybe = " OR ".join("(" + " AND ".join(f"contains(l, '{w}')" for w in sorted(x, key=lambda w: (-len(w), -rank[w], w))) + ")" for x in sorted(needed, key=sorted))
     steps = [
         # words only where a phrase may stand; elsewhere their number is enough
         ["doc_id", "coalesce(text, '') AS text", "lower(coalesce(text, '')) AS l"],
@@ -107,7 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
          f"transform(votes, q -> named_struct('t', q.t, 'o', q.o, 's', "
          f"size(filter(sequence(0, size(get({texts}, q.t)) - 1), k -> q.o + k >= 0 AND coalesce(get(w, q.o + k), '') = get(get({texts}, q.t), k))) / CAST(size(get({texts}, q.t)) AS double))) AS scored"],
         ["doc_id", "n_words", "b",
-         f"filter(scored, q -> q.s >= {LEAST} AND exists(get({keys}, q.t), k -> contains(concat(' ', array_join(slice(w, greatest(q.o, 0) + 1, size(get({texts}, q.t))), ' '), ' '), k))) AS found"],
+         f"filter(scored, q -> q.s >= {LEAST} AND forall(get({keys}, q.t), k -> contains(concat(' ', array_join(slice(w, greatest(q.o, 0) + 1, size(get({texts}, q.t))), ' '), ' '), k))) AS found"],
         ["doc_id", "n_words", "CAST(coalesce(size(b), 0) AS bigint) AS n_base",
          "CAST(array_min(transform(b, x -> x.at)) AS bigint) AS first_word", "CAST(array_max(transform(b, x -> x.at)) AS bigint) AS last_word",
          "coalesce(array_join(array_sort(array_distinct(transform(b, x -> x.label))), ','), '') AS base_labels",
@@ -125,10 +164,9 @@ def op6_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same scan on exploded words, with joins in place of arrays."""
-    rank = idf()
-    postings = ", ".join(f"({t}, {p}, '{w}', {rank.get(w, -1)})" for t, n in enumerate(TEMPLATES) for p, w in enumerate(TEMPLATES[n][0].split()))
-    keys = ", ".join(f"({t}, '{n.removesuffix('-text')}', {len(TEMPLATES[n][0].split())}, ' {k} ')" for t, n in enumerate(TEMPLATES) for k in TEMPLATES[n][1])
+    """Brute force on exploded words: every notice at every place where any word of it would fit."""
+    words = ", ".join(f"({t}, {p}, '{w}')" for t, (text, _) in enumerate(TEMPLATES.values()) for p, w in enumerate(text.split()))
+    keys = ", ".join(f"({t}, '{label_of(n)}', {len(text.split())}, [{', '.join(f"' {k} '" for k in found)}])" for t, (n, (text, found)) in enumerate(TEMPLATES.items()))
     return rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -139,18 +177,12 @@ nxt AS (SELECT rid, i, x, lead(x) OVER (PARTITION BY rid ORDER BY i) AS y, lead(
 base AS (
   SELECT rid, i, CASE WHEN x = 'general' THEN 'gpl' ELSE x END AS label FROM nxt
   WHERE (x = 'mit' AND y = 'license') OR (x = 'apache' AND y = 'license') OR (x = 'general' AND y = 'public' AND z = 'license')),
-post(t, p, x, r) AS (VALUES {postings}),
+notice(t, p, x) AS (VALUES {words}),
 keys(t, label, n, k) AS (VALUES {keys}),
-vocab AS (SELECT DISTINCT x, r FROM post WHERE r >= 0),
-best AS (SELECT rid, x FROM (SELECT rid, x, row_number() OVER (PARTITION BY rid ORDER BY r DESC, x DESC) AS k FROM (SELECT DISTINCT w.rid, w.x, v.r FROM words w JOIN vocab v ON w.x = v.x)) WHERE k <= {LOOKUPS}),
-votes AS (SELECT DISTINCT w.rid, q.t, w.i - q.p AS o FROM words w JOIN best b ON w.rid = b.rid AND w.x = b.x JOIN post q ON q.x = w.x),
-scored AS (
-  SELECT v.rid, v.t, v.o, count(w.i) / CAST(count(*) AS DOUBLE) AS s
-  FROM votes v JOIN post q ON q.t = v.t LEFT JOIN words w ON w.rid = v.rid AND w.i = v.o + q.p AND w.x = q.x
-  GROUP BY v.rid, v.t, v.o),
+fits AS (SELECT w.rid, q.t, w.i - q.p AS o, count(*) AS c FROM words w JOIN notice q ON q.x = w.x GROUP BY ALL HAVING c > 2),
 found AS (
-  SELECT DISTINCT s.rid, k.label, s.s FROM scored s JOIN keys k ON k.t = s.t JOIN docs d ON d.rid = s.rid
-  WHERE s.s >= {LEAST} AND contains(' ' || array_to_string(d.w[greatest(s.o, 0) + 1 : greatest(s.o, 0) + k.n], ' ') || ' ', k.k)),
+  SELECT DISTINCT f.rid, k.label, f.c / CAST(k.n AS DOUBLE) AS s FROM fits f JOIN keys k ON k.t = f.t JOIN docs d ON d.rid = f.rid
+  WHERE f.c >= {LEAST} * k.n AND len(list_filter(k.k, lambda y: NOT contains(' ' || array_to_string(d.w[greatest(f.o, 0) + 1 : greatest(f.o, 0) + k.n], ' ') || ' ', y))) = 0),
 b AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY rid),
 l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base UNION ALL SELECT rid, label FROM found) GROUP BY rid),
 f AS (SELECT rid, max(s) AS score FROM found GROUP BY rid)
