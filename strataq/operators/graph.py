@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import Store
@@ -92,14 +92,29 @@ def cycles(edges: DataFrame, longest: int) -> DataFrame:
     return reduce(DataFrame.unionByName, closed).withColumn("polarity", F.when(F.col("gain") < 0, "balancing").otherwise("reinforcing"))
 
 
-def descend(parents: DataFrame, roots: DataFrame, deepest: int) -> DataFrame:
-    """(id, parent) and root ids to (root, id, depth), breadth first to a stated depth."""
-    level = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    found = [level]
-    for _ in range(deepest):
-        level = level.select("root", F.col("id").alias("parent"), "depth").join(parents.select("id", "parent"), "parent").select("root", "id", (F.col("depth") + 1).alias("depth"))
-        found.append(level)
-    return reduce(DataFrame.unionByName, found)
+def descend(parents: DataFrame, roots: DataFrame, spark: SparkSession, deepest: int | None = None) -> DataFrame:
+    """(id, parent) and root ids to (root, id, depth), breadth first, to a stated depth or to the end.
+
+    Every level is written, so the plan stays short; a pair of root and id is met once, so
+    cycles end.
+    """
+    store = Store(spark, "descend")
+    step = store.put(parents.where("parent IS NOT NULL").select("id", "parent"))
+    level = store.put(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct())
+    found = level
+    depth = 0
+    while (deepest is None or depth < deepest) and not level.isEmpty():
+        depth += 1
+        below = level.select("root", F.col("id").alias("parent")).join(step, "parent").select("root", "id").distinct()
+        level = store.put(below.join(found, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        found = found.unionByName(level)
+    return found
+
+
+def ancestors(parents: DataFrame, starts: DataFrame, spark: SparkSession) -> DataFrame:
+    """(id, parent) and ids to (start, id, depth) of everything above them, to the roots."""
+    turned = parents.where("parent IS NOT NULL").select(F.col("parent").alias("id"), F.col("id").alias("parent"))
+    return descend(turned, starts, spark).where("depth > 0").withColumnRenamed("root", "start")
 
 
 def eigenvector(edges: DataFrame, store: Store, rounds: int = 30, shift: float = 1.0) -> DataFrame:

@@ -34,10 +34,12 @@ def join_risk(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     if mismatch:
         hit = F.lit(False)
     fold = F.lower(F.trim("k"))
-    near = (
-        both.where("lc IS NULL").select("k", fold.alias("f")).join(l.where(~blank).select(fold.alias("f")).distinct(), "f", "left_semi")
-        .agg(F.count("*").alias("near_misses"), F.slice(F.sort_array(F.collect_list("k")), 1, NEAR_SHOWN).alias("near_shown"))
-    ) if is_text(left, left_key) and is_text(right, right_key) else None
+    near = None
+    if is_text(left, left_key) and is_text(right, right_key):
+        missed = both.where("lc IS NULL").select("k", fold.alias("f")).join(l.where(~blank).select(fold.alias("f")).distinct(), "f", "left_semi").select("k")
+        # the first few are kept by every task, so no row holds all of them
+        shown = missed.orderBy("k").limit(NEAR_SHOWN).agg(F.sort_array(F.collect_list("k")).alias("near_shown"))
+        near = missed.agg(F.count("*").alias("near_misses")).crossJoin(shown)  # one row each
     out = both.agg(
         F.count("lc").alias("left_keys"), F.count("rc").alias("right_keys"), F.count_if(hit).alias("matched_keys"),
         n(F.when(hit, F.col("lc") * F.col("rc"))).alias("output_rows"), F.coalesce(F.max("lc"), F.lit(0)).alias("left_fanout"), F.coalesce(F.max("rc"), F.lit(0)).alias("right_fanout"),
@@ -77,7 +79,7 @@ def normalize_name(c: Column | str) -> Column:
 
 
 # Articles and legal suffixes that do not tell names apart.
-STOP = "a an the of and inc incorporated llc ltd limited plc corp corporation co company gmbh ag sa nv bv pty lp".split()
+STOP = "a an the of and inc incorporated llc ltd limited corp corporation co company plc gmbh ag sa bv nv sas srl pty".split()
 
 
 def name_tokens(normal: Column) -> Column:
@@ -177,7 +179,7 @@ def pareto(df: DataFrame, keep: Sequence[str], x: str, y: str) -> DataFrame:
             yield held
 
     few = df.mapInPandas(local, df.schema)
-    return few.coalesce(1).mapInPandas(local, df.schema)
+    return few.repartition(1).mapInPandas(local, df.schema)  # a shuffle, so the scan keeps its tasks
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: Sequence[str], kind: str, mass: str) -> DataFrame:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def table_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows, present and distinct values, least and greatest number of each column, in one pass."""
-    columns = columns or df.columns
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(columns):
-        aggs += [F.count(c).alias(f"p{i}"), F.countDistinct(c).alias(f"d{i}"), F.min(c).cast("double").alias(f"a{i}"), F.max(c).cast("double").alias(f"b{i}")]
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), F.col(f"p{i}").alias("n_present"), F.col(f"d{i}").alias("n_distinct"), F.col(f"a{i}").alias("low"), F.col(f"b{i}").alias("high")) for i, c in enumerate(columns)]
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """Rows, present and distinct values, least and greatest number of each column.
+
+    Each column is counted by value first, from a scan of that column alone.
+    """
+    parts = []
+    for c in columns or df.columns:
+        per = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("k"))
+        parts.append(per.agg(F.sum("k").alias("n_rows"), F.sum(F.when(F.col("v").isNotNull(), F.col("k")).otherwise(0)).alias("n_present"), F.count("v").alias("n_distinct"), F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high")).select(F.lit(c).alias("column_name"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_present", F.lit(0)).alias("n_present"), "n_distinct", "low", "high"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def text_profile(df: DataFrame, text: str, group: str) -> DataFrame:

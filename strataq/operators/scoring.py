@@ -6,9 +6,14 @@ values, so only the distinct values are ever sorted together.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import average_ranks, quantiles
+from .ordered import tail_mean as cvar  # noqa: F401
+
 CLIP = 1e-12
 
 
@@ -54,13 +59,6 @@ def interval_score(low: Column, high: Column, y: Column, alpha: float) -> Column
     return (high - low) + 2 / alpha * (F.greatest(low - y, F.lit(0.0)) + F.greatest(y - high, F.lit(0.0)))
 
 
-def average_ranks(df: DataFrame, value: str, groups: tuple[str, ...] = ()) -> DataFrame:
-    """value to its average rank (ties share it), by counts of distinct values."""
-    counts = df.groupBy(*groups, value).agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(*groups, value, (before + (F.col("k") + 1) / 2).alias("rank"))
-
-
 def rank_auc(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     """Area under the ROC curve by average ranks; null with one class only."""
     rows = df.groupBy(p).agg(F.sum(y).alias("pos"), F.count("*").alias("k")).join(average_ranks(df, p), p)
@@ -73,13 +71,6 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(a, b).join(ra, a).join(rb, b).agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n_rows"))
 
 
-def cvar(df: DataFrame, group: str, x: str, alpha: float = 0.9) -> DataFrame:
-    """Mean of the values from position floor(alpha * n) of each group on."""
-    w = Window.partitionBy(group).orderBy(x)
-    rows = df.select(group, x, F.row_number().over(w).alias("k"), F.count("*").over(Window.partitionBy(group)).alias("n"))
-    return rows.where(F.col("k") > F.floor(F.col("n") * alpha)).groupBy(group).agg(F.avg(x).alias("cvar"), F.count("*").alias("n_tail"))
-
-
 def gini(df: DataFrame, x: str) -> DataFrame:
     """Gini index of a non-negative column, from counts of distinct values."""
     r = df.groupBy(x).agg(F.count("*").alias("k")).join(average_ranks(df, x), x)
@@ -115,3 +106,47 @@ def exact_match_f1(pairs: DataFrame, key: str, gold: str, answer: str) -> DataFr
     hits = count("g", "x").join(count("a", "y"), [key, "w"]).groupBy(key).agg(F.sum(F.least("x", "y")).alias("common"))
     c = F.coalesce("common", F.lit(0))
     return rows.join(hits, key, "left").select(key, (F.array_join("g", " ") == F.array_join("a", " ")).alias("exact"), F.coalesce(2 * c / F.nullif(F.size("g") + F.size("a"), F.lit(0)), F.lit(0.0)).alias("f1"))
+
+
+def tail_report(df: DataFrame, group: str, x: str) -> DataFrame:
+    """Count, mean, median, 95th and 99th percentile, greatest value, and the 99th over the mean."""
+    base = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.max(x).alias("worst"))
+    out = base.join(quantiles(df, x, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, [group]), group)
+    return out.withColumn("tail_ratio", F.col("p99") / F.nullif("mean", F.lit(0.0)))
+
+
+def binned_residuals(df: DataFrame, x: str, residual: str, bins: int = 4, least: int = 3) -> DataFrame:
+    """Mean and t of the residuals in bins between quantiles of ``x``; bins of fewer than ``least`` are dropped."""
+    edges = quantiles(df, x, {f"e{i}": i / bins for i in range(1, bins)})  # one row
+    bin_ = reduce(lambda a, i: a + F.when(F.col(x) >= F.col(f"e{i}"), 1).otherwise(0), range(1, bins), F.lit(0))
+    v = F.col(residual)
+    out = df.crossJoin(edges).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), (F.avg(v) / F.nullif(F.stddev_samp(v) / F.sqrt(F.count("*")), F.lit(0.0))).alias("t_stat"))
+    return out.where(F.col("n") >= least)
+
+
+def failure_taxonomy(steps: DataFrame, classes: dict[str, str], trace: str, tool: str, cost: str, step: str) -> DataFrame:
+    """Steps of each class (a step may be in several): incidents, traces, cost, dominant tool, first exemplar."""
+    tags = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(k)) for k, c in classes.items()]))
+    i = steps.withColumn("failure", F.explode(tags))  # one scan
+    main = i.groupBy("failure", tool).agg(F.count("*").alias("k")).groupBy("failure").agg(F.min_by(tool, F.struct(-F.col("k"), F.col(tool))).alias("dominant_tool"))
+    traces = i.groupBy("failure", trace).agg(F.count("*").alias("k"), F.sum(cost).alias("c"), F.min(step).alias("s"))
+    out = traces.groupBy("failure").agg(F.sum("k").alias("incidents"), F.count("*").alias("traces"), (F.round(F.sum("c"), 2) + 0.0).alias("cost"), F.min("s").alias("exemplar"))
+    return out.join(main, "failure")
+
+
+PRIOR_RATE, LEAST_COST, EXPLORE = 0.25, 0.1, 0.5
+
+
+def voi_rank(open_items: DataFrame, history: DataFrame, costs: DataFrame, prior: float = PRIOR_RATE, explore: float = EXPLORE) -> DataFrame:
+    """Rank of tools: sum of mass x resolution rate over kinds, by cost, times a bonus for little visited ones.
+
+    ``open_items`` (tool, kind, mass), ``history`` (tool, kind, attempts, resolutions) and
+    ``costs`` (tool, cost, visits).  A kind without attempts has the prior rate.
+    """
+    rate = F.when(F.coalesce("attempts", F.lit(0)) == 0, F.lit(prior)).otherwise(F.col("resolutions") / F.col("attempts"))
+    gain = open_items.join(history, ["tool", "kind"], "left").groupBy("tool").agg(F.sum(F.col("mass") * rate).alias("gain"), F.count_if(F.coalesce("attempts", F.lit(0)) == 0).alias("priors"))
+    most = costs.agg(F.max("visits").alias("most"))  # one row
+    bonus = 1 + explore * (1 - F.coalesce(F.col("visits") / F.nullif("most", F.lit(0)), F.lit(0.0)))
+    score = F.round(F.col("gain") / F.greatest("cost", F.lit(LEAST_COST)) * bonus, 4)
+    out = gain.join(costs, "tool").crossJoin(most).select("tool", "priors", "gain", score.alias("score"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "tool")))  # one row per tool

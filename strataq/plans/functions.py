@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import compile_expression
 from ..functions.units import convert
 from ..operators.joins import normalize_name as normal
+from ..operators.ordered import lagged
+from ..operators.records import scene_frames
 from ..operators.text import chunks, tfidf_search
 from ..session import day, epoch, r6
 from .base import query
@@ -52,7 +54,7 @@ def scenario_long(t):
 
 @query(
     "tfidf_search",
-    r"""WITH c AS (SELECT doc_id, o AS "offset", substr(substr(text, 1, 40000), o + 1, 1100) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(least(length(text), 40000), 1), 900)) AS o FROM documents WHERE length(text) > 0)),
+    r"""WITH c AS (SELECT doc_id, o AS "offset", substr(text, o + 1, 1100) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 900)) AS o FROM documents WHERE length(text) > 0)),
 w AS (SELECT doc_id, "offset", unnest(regexp_extract_all(lower(chunk), '[\p{L}\p{N}_]{2,}')) AS w FROM c), q AS (SELECT w, 1 + ln(count(*)) AS qtf FROM (SELECT unnest(regexp_extract_all(lower('the thing is here and there by name'), '[\p{L}\p{N}_]{2,}')) AS w) GROUP BY 1),
 tf AS (SELECT doc_id, "offset", w, 1 + ln(count(*)) AS tf FROM w GROUP BY 1, 2, 3), n AS (SELECT count(*) + 1 AS n FROM c), d AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
 i AS (SELECT coalesce(d.w, q.w) AS w, 1 + ln((1 + n) / CAST(1 + coalesce(df, 0) + CASE WHEN q.w IS NULL THEN 0 ELSE 1 END AS DOUBLE)) AS idf, qtf FROM d FULL JOIN q ON d.w = q.w, n),
@@ -176,10 +178,14 @@ def normal_equations(t):
     return t.lineitem.agg(F.count("*").alias("n"), s(x, "sx", 2), s(z, "sz", 4), s(x * x, "sxx", 2), s(x * z, "sxz", 4), s(z * z, "szz", 6), s(x * y, "sxy", 4), s(z * y, "szy", 6))
 
 
-@query("scene_frames", "SELECT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS frame, count(DISTINCT user_id) AS agents, string_agg(DISTINCT CAST(user_id AS VARCHAR), ',' ORDER BY CAST(user_id AS VARCHAR)) AS agent_ids FROM events WHERE event_type = 'purchase' GROUP BY 1")
-def scene_frames(t):
-    ids = F.sort_array(F.collect_set(F.col("user_id").cast("string")))
-    return t.events.where("event_type = 'purchase'").groupBy(day("ts").alias("frame")).agg(ids.alias("i")).select("frame", F.size("i").cast("long").alias("agents"), F.array_join("i", ",").alias("agent_ids"))
+@query(
+    "scene_frames",
+    """WITH a AS (SELECT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS frame, user_id AS agent, avg(value) AS x, count(*) AS y FROM events GROUP BY 1, 2)
+SELECT frame, agent, round(x, 6) AS x, y, CAST(row_number() OVER (PARTITION BY frame ORDER BY agent) AS INTEGER) AS place, count(*) OVER (PARTITION BY frame) AS agents FROM a""",
+)
+def scene_frames_query(t):
+    a = t.events.groupBy(day("ts").alias("frame"), F.col("user_id").alias("agent")).agg(F.avg("value").alias("x"), F.count("*").alias("y"))
+    return rounded(scene_frames(a, "frame", "agent", ["x", "y"]), "x")
 
 
 @query("linear_fit", "SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM lineitem GROUP BY 1")
@@ -193,8 +199,8 @@ def linear_fit(t):
     """WITH e AS (SELECT event_type AS factor, (value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id)) / 10 AS d FROM events) SELECT factor, round(avg(d), 6) AS mu, round(avg(abs(d)), 6) AS mu_star, round(stddev_samp(d), 6) AS sigma FROM e WHERE d IS NOT NULL GROUP BY 1""",
 )
 def elementary_effects(t):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = t.events.select(F.col("event_type").alias("factor"), ((F.col("value") - F.lag("value").over(w)) / 10).alias("d")).where("d IS NOT NULL")
+    rows = t.events.select(F.col("event_type").alias("factor"), epoch("ts").alias("at"), "event_id", "value")
+    e = lagged(rows, ["factor"], "at", ["event_id"], {"before": "value"}).select("factor", ((F.col("value") - F.col("before")) / 10).alias("d")).where("d IS NOT NULL")
     return rounded(e.groupBy("factor").agg(F.avg("d").alias("mu"), F.avg(F.abs("d")).alias("mu_star"), F.stddev_samp("d").alias("sigma")), "mu", "mu_star", "sigma")
 
 

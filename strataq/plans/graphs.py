@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -10,14 +11,14 @@ from ..storage import Store
 from .base import query
 from .scoring import rounded
 
-#: Suppliers of one order are linked; the SQL sees lines of l_quantity >= 47 only, edges() all.
-_E = "e AS (SELECT DISTINCT least(a.s, b.s) AS a, greatest(a.s, b.s) AS b FROM (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_quantity >= 47) a JOIN (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_quantity >= 47) b ON a.o = b.o WHERE a.s <> b.s)"
+#: Parts on neighbouring lines of an order are linked: as many edges as lines, and none left out.
+_E = """e AS (SELECT DISTINCT least(p, q) AS a, greatest(p, q) AS b FROM (SELECT l_partkey AS p, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS q FROM lineitem) WHERE p <> q)"""
 _B = "w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), g AS (SELECT a AS node, count(*) AS degree FROM w GROUP BY 1)"
 
 
 def edges(t):
-    x = t.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct()
-    return G.simple_edges(x.select("o", F.col("s").alias("a")).join(x.select("o", F.col("s").alias("b")), "o"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return G.simple_edges(t.lineitem.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).where("b IS NOT NULL"))
 
 
 @query("degree_strength", "WITH x AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p, sum(l_quantity) OVER (PARTITION BY l_suppkey, l_partkey) AS q FROM lineitem) SELECT s AS node, count(*) AS degree, round(sum(q), 4) AS strength, round(count(*) / CAST((SELECT count(DISTINCT l_partkey) FROM lineitem) AS DOUBLE), 6) AS density FROM x GROUP BY s")
@@ -43,20 +44,12 @@ def clustering(t):
     return rounded(G.clustering(edges(t)), "clustering")
 
 
-@query(
-    "components",
-    """WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1), e AS (SELECT DISTINCT a.p AS a, b.p AS b FROM x a JOIN x b ON a.o = b.o),
-r(node, label) AS (SELECT a, b FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.label) SELECT node, min(label) AS label FROM r GROUP BY node HAVING count(*) > 1""",
-)
+@query("components")  # a recursive closure over all edges is dear in SQL: tested against brute force
 def components(t):
-    # all lines, each order a star around its least part: the components of all pairs, with edges as many as lines;
-    # the SQL closes over a few lines only, as the closure over all is dear
-    x = t.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
-    e = G.simple_edges(x.select("o", F.col("p").alias("b")).join(x.groupBy("o").agg(F.min("p").alias("a")), "o"))
-    return G.components(e, Store(t.spark, "components"))
+    return G.components(edges(t), Store(t.spark, "components"))
 
 
-_F = "f AS (SELECT l_suppkey % 12 AS src, l_partkey % 12 AS dst, CASE WHEN avg(l_discount) > CAST(0.05 AS DOUBLE) THEN 1 ELSE -1 END AS w FROM lineitem WHERE (l_suppkey + l_partkey) % 5 = 0 AND l_suppkey % 12 <> l_partkey % 12 GROUP BY 1, 2)"
+_F = "f AS (SELECT l_suppkey % 12 AS src, l_partkey % 12 AS dst, CASE WHEN round(avg(l_discount), 12) > CAST(0.05 AS DOUBLE) THEN 1 ELSE -1 END AS w FROM lineitem WHERE l_suppkey % 12 <> l_partkey % 12 GROUP BY 1, 2)"
 
 
 @query(
@@ -67,7 +60,7 @@ SELECT x || '-' || y AS loop, CAST(gain AS BIGINT) AS gain, CASE WHEN gain < 0 T
 )
 def feedback_loops(t):
     s, d = F.col("l_suppkey") % 12, F.col("l_partkey") % 12
-    # all lines, while the SQL keeps a fifth; averages are rounded, so that a tie at 0.05 does not hang on the order of the sum
+    # averages are rounded, so that a tie at 0.05 does not hang on the order of the sum
     e = t.lineitem.where(s != d).groupBy(s.alias("src"), d.alias("dst")).agg(F.when(F.round(F.avg("l_discount"), 12) > 0.05, 1).otherwise(-1).cast("long").alias("weight"))
     return G.cycles(e, 3).select(F.array_join(F.col("path").cast("array<string>"), "-").alias("loop"), "gain", "polarity")
 
@@ -83,8 +76,6 @@ def percolation(t):
 @query("topk_degree", f"WITH {_E}, {_B} SELECT node, degree, CAST(row_number() OVER (ORDER BY degree DESC, node) AS INTEGER) AS rank FROM g QUALIFY row_number() OVER (ORDER BY degree DESC, node) <= 10")
 def topk_degree(t):
     top = G.degrees(edges(t)).orderBy(F.desc("degree"), "node").limit(10)  # the limit is the feature
-    from pyspark.sql import Window
-
     return top.select("node", "degree", F.row_number().over(Window.orderBy(F.desc("degree"), "node")).alias("rank"))
 
 
@@ -106,27 +97,25 @@ def forest(t):
 @query("stale_closure", f"WITH RECURSIVE {_P}, s(id) AS (SELECT id FROM p WHERE id IN ('n3', 'n7') UNION ALL SELECT p.id FROM p JOIN s ON p.parent = s.id) SELECT id FROM s")
 def stale_closure(t):
     p = forest(t)
-    return G.descend(p, p.where(F.col("id").isin("n3", "n7")).select("id"), 2).select("id")
+    return G.descend(p, p.where(F.col("id").isin("n3", "n7")).select("id"), t.spark).select("id")
 
 
 @query("lineage_depth", f"WITH RECURSIVE {_P}, s(id, depth, root) AS (SELECT id, 0, id FROM p WHERE parent IS NULL UNION ALL SELECT p.id, s.depth + 1, s.root FROM p JOIN s ON p.parent = s.id) SELECT root, CAST(depth AS INTEGER) AS depth, count(*) AS n FROM s GROUP BY 1, 2")
 def lineage_depth(t):
     p = forest(t)
-    return G.descend(p, p.where("parent IS NULL").select("id"), 3).groupBy("root", "depth").agg(F.count("*").alias("n"))
+    return G.descend(p, p.where("parent IS NULL").select("id"), t.spark).groupBy("root", "depth").agg(F.count("*").alias("n"))
 
 
-@query("lineage_export", f"WITH RECURSIVE {_P}, s(id, depth) AS (SELECT id, 0 FROM p WHERE id = 'r1' UNION ALL SELECT p.id, s.depth + 1 FROM p JOIN s ON p.parent = s.id WHERE s.depth < 2) SELECT s.id, p.parent, CAST(depth AS INTEGER) AS depth FROM s JOIN p ON p.id = s.id")
+@query("lineage_export", f"WITH RECURSIVE {_P}, s(id, depth) AS (SELECT id, 0 FROM p WHERE id = 'r1' UNION ALL SELECT p.id, s.depth + 1 FROM p JOIN s ON p.parent = s.id WHERE s.depth < 8) SELECT s.id, p.parent, CAST(depth AS INTEGER) AS depth FROM s JOIN p ON p.id = s.id")
 def lineage_export(t):
     p = forest(t)
-    return G.descend(p, p.where("id = 'r1'").select("id"), 2).join(p, "id").select("id", "parent", "depth")
+    return G.descend(p, p.where("id = 'r1'").select("id"), t.spark, 8).join(p, "id").select("id", "parent", "depth")
 
 
 @query("ancestors", f"WITH RECURSIVE {_P}, a(start, id) AS (SELECT id, parent FROM p WHERE id LIKE 'c%' UNION ALL SELECT a.start, p.parent FROM a JOIN p ON p.id = a.id WHERE p.parent IS NOT NULL) SELECT start, count(*) AS n_ancestors, max(id) AS top FROM a GROUP BY start")
 def ancestors(t):
     p = forest(t)
-    level = p.where("id LIKE 'c%'").select(F.col("id").alias("start"), F.col("parent").alias("id"))
-    up = level.join(p, "id").select("start", F.col("parent").alias("id")).where("id IS NOT NULL")
-    return level.unionByName(up).groupBy("start").agg(F.count("*").alias("n_ancestors"), F.max("id").alias("top"))
+    return G.ancestors(p, p.where("id LIKE 'c%'").select("id"), t.spark).groupBy("start").agg(F.count("*").alias("n_ancestors"), F.max("id").alias("top"))
 
 
 _T = """t AS (SELECT 'c' || c_custkey AS subject, 'in' AS predicate, 'n' || c_nationkey AS object FROM customer UNION ALL SELECT 'c' || c_custkey, 'segment', c_mktsegment FROM customer
@@ -174,15 +163,13 @@ def ontology_findings(t):
 
 @query(
     "cascade_stats",
-    """WITH a AS (SELECT event_type AS cascade, user_id, min(epoch(ts)) AS seen FROM events WHERE value > 40 GROUP BY 1, 2), s AS (SELECT *, seen - min(seen) OVER (PARTITION BY cascade) AS age, row_number() OVER (PARTITION BY cascade ORDER BY seen, user_id) AS k, count(*) OVER (PARTITION BY cascade) AS n FROM a)
+    """WITH a AS (SELECT event_type AS cascade, user_id, min(epoch(ts)) AS seen FROM events GROUP BY 1, 2), s AS (SELECT *, seen - min(seen) OVER (PARTITION BY cascade) AS age, row_number() OVER (PARTITION BY cascade ORDER BY seen, user_id) AS k, count(*) OVER (PARTITION BY cascade) AS n FROM a)
 SELECT cascade, count(*) AS size, round(max(age), 3) AS duration, round(min(CASE WHEN 2 * k >= n THEN age END), 3) AS half_time, round(avg(age), 3) AS mean_age, CAST(sum(CASE WHEN age <= 86400 THEN 1 ELSE 0 END) AS BIGINT) AS first_day FROM s GROUP BY cascade""",
 )
 def cascade_stats(t):
-    from pyspark.sql import Window
-
     from ..session import epoch
 
-    a = t.events.where("value > 40").groupBy(F.col("event_type").alias("cascade"), "user_id").agg(F.min(epoch("ts")).alias("at"))
+    a = t.events.groupBy(F.col("event_type").alias("cascade"), "user_id").agg(F.min(epoch("ts")).alias("at"))
     g = Window.partitionBy("cascade")
     s = a.withColumns({"age": F.col("at") - F.min("at").over(g), "k": F.row_number().over(g.orderBy("at", "user_id")), "n": F.count("*").over(g)})
     out = s.groupBy("cascade").agg(F.count("*").alias("size"), F.max("age").alias("duration"), F.min(F.when(2 * F.col("k") >= F.col("n"), F.col("age"))).alias("half_time"), F.avg("age").alias("mean_age"), F.count_if(F.col("age") <= 86400).alias("first_day"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators.ordered import lagged
 from ..session import day, epoch, r6
 from .base import query
 
@@ -81,8 +82,7 @@ FROM p JOIN m ON m.series = p.series AND m.k = 1 CROSS JOIN w""",
 )
 def align_time(t):
     e = t.events.select(F.col("event_type").alias("series"), F.floor(epoch("ts")).alias("t"), "event_id")
-    w = Window.partitionBy("series").orderBy("t", "event_id")
-    s = e.withColumn("step", F.col("t") - F.lag("t").over(w))
+    s = lagged(e, ["series"], "t", ["event_id"], {"before": "t"}).withColumn("step", F.col("t") - F.col("before"))
     modal = s.where("step > 0").groupBy("series", "step").agg(F.struct((-F.count("*")).alias("n"), F.min("t").alias("t")).alias("o")).groupBy("series").agg(F.min_by("step", "o").alias("modal_step"))
     p = s.groupBy("series").agg(
         F.count("*").alias("n"), F.min("t").alias("start_at"), F.max("t").alias("end_at"), (F.max("t") - F.min("t")).alias("span"),

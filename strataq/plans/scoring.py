@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import ordered as O
 from ..operators import scoring as S
 from ..session import day, epoch, r6
 from .base import query
@@ -94,16 +95,12 @@ def spearman(t):
 
 @query("quantiles", "SELECT event_type, round(quantile_cont(value, 0.1), 4) AS p10, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90 FROM events GROUP BY event_type")
 def quantiles(t):
-    q = F.percentile("value", F.array(*map(F.lit, (0.1, 0.5, 0.9))))
-    return rounded(t.events.groupBy("event_type").agg(q.alias("q")).select("event_type", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90")), "p10", "p50", "p90", places=4)
+    return rounded(O.quantiles(t.events, "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, ["event_type"]), "p10", "p50", "p90", places=4)
 
 
 @query("tail_report", "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, max(value) AS worst, round(quantile_cont(value, 0.99) / avg(value), 4) AS tail_ratio FROM events GROUP BY event_type")
 def tail_report(t):
-    q = F.percentile("value", F.array(*map(F.lit, (0.5, 0.95, 0.99))))
-    out = t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), q.alias("q"), F.max("value").alias("worst"))
-    out = out.select("event_type", "n", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "worst", (F.col("q")[2] / F.nullif("mean", F.lit(0.0))).alias("tail_ratio"))
-    return rounded(out, "mean", "p50", "p95", "p99", "tail_ratio", places=4)
+    return rounded(S.tail_report(t.events, "event_type", "value"), "mean", "p50", "p95", "p99", "tail_ratio", places=4)
 
 
 @query("cvar", "SELECT event_type, round(avg(value), 6) AS cvar, count(*) AS n_tail FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE k > floor(n * CAST(0.9 AS DOUBLE)) GROUP BY event_type")
@@ -113,9 +110,8 @@ def cvar(t):
 
 @query("quantile_fan", "SELECT CAST(l_linenumber AS BIGINT) AS idx, round(quantile_cont(l_extendedprice, 0.05), 2) AS lo, round(quantile_cont(l_extendedprice, 0.5), 2) AS mid, round(quantile_cont(l_extendedprice, 0.95), 2) AS hi FROM lineitem GROUP BY l_linenumber")
 def quantile_fan(t):
-    q = F.percentile("l_extendedprice", F.array(*map(F.lit, (0.05, 0.5, 0.95))))
-    out = t.lineitem.groupBy(F.col("l_linenumber").cast("long").alias("idx")).agg(q.alias("q"))
-    return rounded(out.select("idx", F.col("q")[0].alias("lo"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("hi")), "lo", "mid", "hi", places=2)
+    rows = t.lineitem.select(F.col("l_linenumber").cast("long").alias("idx"), "l_extendedprice")
+    return rounded(O.quantiles(rows, "l_extendedprice", {"lo": 0.05, "mid": 0.5, "hi": 0.95}, ["idx"]), "lo", "mid", "hi", places=2)
 
 
 @query(
@@ -147,7 +143,7 @@ def unresolved_pairs(t):
     return out.where("attempts >= 3 AND hits = 0").drop("hits")
 
 
-_TAX = [("failed_step", "event_type = 'error'"), ("costly_step", "value > 150"), ("costly_failure", "event_type = 'error' AND value > 100"), ("free_purchase", "event_type = 'purchase' AND value < 1")]
+_TAX = [("failed_step", "event_type = 'error'"), ("costly_step", "value > 150"), ("costly_failure", "event_type = 'error' AND value > 100"), ("free_purchase", "event_type = 'purchase' AND value < 1"), ("idle_view", "event_type = 'view' AND value = 0"), ("large_purchase", "event_type = 'purchase' AND value > 120")]
 
 
 @query(
@@ -156,11 +152,7 @@ _TAX = [("failed_step", "event_type = 'error'"), ("costly_step", "value > 150"),
 SELECT i.failure, count(*) AS incidents, count(DISTINCT user_id) AS traces, round(sum(value), 2) AS cost, max(d.event_type) AS dominant_tool, CAST(min(event_id) AS BIGINT) AS exemplar FROM i JOIN d ON d.failure = i.failure AND d.k = 1 GROUP BY i.failure""",
 )
 def failure_taxonomy(t):
-    tags = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(k)) for k, c in _TAX]))
-    i = t.events.withColumn("failure", F.explode(tags))  # one scan; a step may be in several classes
-    tool = i.groupBy("failure", "event_type").agg(F.count("*").alias("k")).groupBy("failure").agg(F.min_by("event_type", F.struct(-F.col("k"), F.col("event_type"))).alias("dominant_tool"))
-    out = i.groupBy("failure").agg(F.count("*").alias("incidents"), F.countDistinct("user_id").alias("traces"), (F.round(F.sum("value"), 2) + 0.0).alias("cost"), F.min("event_id").alias("exemplar"))
-    return out.join(tool, "failure")
+    return S.failure_taxonomy(t.events, dict(_TAX), trace="user_id", tool="event_type", cost="value", step="event_id")
 
 
 @query("herfindahl", "WITH g AS (SELECT event_type AS family, user_id, sum(value) AS v FROM events GROUP BY 1, 2), s AS (SELECT family, v / sum(v) OVER (PARTITION BY family) AS share FROM g WHERE v > 0) SELECT family, count(*) AS members, round(sum(share * share), 6) AS herfindahl, round(max(share), 6) AS top_share FROM s GROUP BY family")
@@ -191,17 +183,24 @@ def severity_mass(t):
     return t.orders.where("o_orderstatus <> 'F'").select("o_custkey", F.col("o_orderpriority").alias("kind"), "o_orderstatus", s.alias("s")).distinct().groupBy("kind").agg(F.count("*").alias("n"), F.sum("s").alias("mass"), F.max("s").alias("severity"))
 
 
+_OPEN = "SELECT CASE event_type WHEN 'error' THEN 'fault' WHEN 'view' THEN 'unseen' ELSE 'other' END AS kind, event_type AS tool, round(sum(value), 6) AS mass FROM events GROUP BY 1, 2"
+_PAST = "SELECT event_type AS tool, CASE event_type WHEN 'error' THEN 'fault' ELSE 'other' END AS kind, count(*) AS attempts, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS resolutions FROM events WHERE event_type <> 'purchase' GROUP BY 1, 2"
+_COST = "SELECT event_type AS tool, greatest(0.1, CAST(min(user_id) AS DOUBLE)) AS cost, 1 + 0.5 * (1 - count(DISTINCT user_id) / CAST(max(count(DISTINCT user_id)) OVER () AS DOUBLE)) AS bonus FROM events GROUP BY 1"
+
+
 @query(
     "voi_rank",
-    """WITH h AS (SELECT o_orderpriority AS action, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS hits, avg(o_totalprice) / 100000 AS cost FROM orders GROUP BY 1),
-s AS (SELECT action, n, (CASE WHEN n = 0 THEN 0.25 ELSE hits / CAST(n AS DOUBLE) END) * n / greatest(cost, 0.1) * (1 + CAST(0.5 AS DOUBLE) / sqrt(1 + n)) AS score FROM h)
-SELECT action, n, round(score, 4) AS score, CAST(row_number() OVER (ORDER BY score DESC, action) AS INTEGER) AS rank FROM s""",
+    f"""WITH o AS ({_OPEN}), h AS ({_PAST}), c AS ({_COST}), s AS (SELECT o.tool, sum(mass * CASE WHEN coalesce(attempts, 0) = 0 THEN CAST(0.25 AS DOUBLE) ELSE resolutions / CAST(attempts AS DOUBLE) END) AS gain, CAST(sum(CASE WHEN coalesce(attempts, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS priors FROM o LEFT JOIN h ON h.tool = o.tool AND h.kind = o.kind GROUP BY 1)
+SELECT s.tool, priors, round(gain, 4) AS gain, round(gain / cost * bonus, 4) AS score, CAST(row_number() OVER (ORDER BY round(gain / cost * bonus, 4) DESC, s.tool) AS INTEGER) AS rank FROM s JOIN c ON c.tool = s.tool""",
 )
 def voi_rank(t):
-    h = t.orders.groupBy(F.col("o_orderpriority").alias("action")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("hits"), (F.avg("o_totalprice") / 100000).alias("cost"))
-    rate = F.when(F.col("n") == 0, 0.25).otherwise(F.col("hits") / F.col("n"))
-    s = h.withColumn("score", rate * F.col("n") / F.greatest("cost", F.lit(0.1)) * (1 + 0.5 / F.sqrt(1 + F.col("n"))))
-    return s.select("action", "n", F.round("score", 4).alias("score"), F.row_number().over(Window.orderBy(F.desc("score"), "action")).alias("rank"))
+    e = t.events
+    kind = lambda seen: F.when(F.col("event_type") == "error", "fault").when(F.lit(seen) & (F.col("event_type") == "view"), "unseen").otherwise("other")
+    open_items = e.groupBy(kind(True).alias("kind"), F.col("event_type").alias("tool")).agg(F.round(F.sum("value"), 6).alias("mass"))
+    past = e.where("event_type <> 'purchase'").groupBy(F.col("event_type").alias("tool"), kind(False).alias("kind")).agg(F.count("*").alias("attempts"), F.count_if(F.col("value") > 50).alias("resolutions"))
+    costs = e.groupBy(F.col("event_type").alias("tool")).agg(F.min("user_id").cast("double").alias("cost"), F.countDistinct("user_id").alias("visits"))
+    out = S.voi_rank(open_items, past, costs)
+    return out.select("tool", "priors", F.round("gain", 4).alias("gain"), "score", "rank")
 
 
 @query(
@@ -264,11 +263,8 @@ def error_by_support(t):
 SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(v), 6) AS mean, round(avg(v) / (stddev_samp(v) / sqrt(count(*))), 4) AS t_stat FROM r GROUP BY bin HAVING count(*) >= 3""",
 )
 def binned_residuals(t):
-    edges = t.lineitem.agg(F.percentile("l_quantity", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("e"))  # one row
-    q, e = F.col("l_quantity"), F.col("e")
-    r = t.lineitem.crossJoin(edges).select(F.when(q < e[0], 0).when(q < e[1], 1).when(q < e[2], 2).otherwise(3).alias("bin"), (F.col("l_tax") - F.col("l_discount")).alias("v"))
-    out = r.groupBy("bin").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), (F.avg("v") / (F.stddev_samp("v") / F.sqrt(F.count("*")))).alias("t_stat")).where("n >= 3")
-    return rounded(rounded(out, "mean"), "t_stat", places=4)
+    rows = t.lineitem.select(F.col("l_quantity").alias("x"), (F.col("l_tax") - F.col("l_discount")).alias("v"))
+    return rounded(rounded(S.binned_residuals(rows, "x", "v", bins=4), "mean"), "t_stat", places=4)
 
 
 @query(
@@ -380,7 +376,7 @@ def poisson_deviance(t):
     """WITH q AS (SELECT quantile_cont(l_quantity, 0.75) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem) SELECT l_returnflag, count(*) AS n, round(sqrt(avg((l_tax - l_discount) * (l_tax - l_discount))), 6) AS rmse FROM lineitem, q WHERE l_quantity > a AND l_extendedprice > b GROUP BY 1""",
 )
 def conditional_rmse(t):
-    q = t.lineitem.agg(F.percentile("l_quantity", F.lit(0.75)).alias("a"), F.percentile("l_extendedprice", F.lit(0.75)).alias("b"))  # one row
+    q = O.quantiles(t.lineitem, "l_quantity", {"a": 0.75}).crossJoin(O.quantiles(t.lineitem, "l_extendedprice", {"b": 0.75}))  # one row each
     e = F.col("l_tax") - F.col("l_discount")
     return rounded(t.lineitem.crossJoin(q).where("l_quantity > a AND l_extendedprice > b").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse")), "rmse")
 
