@@ -79,7 +79,7 @@ def lagged(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], v
     rows = df.withColumn("_bucket", F.floor(F.col(time) / bucket))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     last = rows.groupBy(*keys, "_bucket").agg(F.max(F.struct(*dict.fromkeys([*order, *values.values()]))).alias("_last"))  # one row per bucket
-    before = last.select(*keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_before"))
+    before = last.select(*keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_held"))
     rows = rows.withColumns({"_k": F.row_number().over(inside), **{name: F.lag(c).over(inside) for name, c in values.items()}})
     rows = rows.join(before, [*keys, "_bucket"])
-    return rows.select(*df.columns, *[F.when(F.col("_k") == 1, F.col("_before")[c]).otherwise(F.col(name)).alias(name) for name, c in values.items()])
+    return rows.select(*df.columns, *[F.when(F.col("_k") == 1, F.col("_held")[c]).otherwise(F.col(name)).alias(name) for name, c in values.items()])

@@ -1,4 +1,4 @@
 """All queries on the driver's tables."""
 
-from . import functions, graphs, joins, quality, records, scoring, windows  # noqa: F401
+from . import calibration, functions, governance, graphs, joins, quality, records, scoring, windows  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
