@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import Store
@@ -118,17 +118,18 @@ def ancestors(parents: DataFrame, starts: DataFrame, spark: SparkSession) -> Dat
 
 
 def eigenvector(edges: DataFrame, store: Store, rounds: int = 30, shift: float = 1.0) -> DataFrame:
-    """Shifted power iteration on an undirected graph, scores summing to 1."""
+    """Shifted power iteration on an undirected graph, scores summing to 1.
+
+    Every round is written, so each is one join on the edges whatever their number.
+    """
     both = store.put(both_ways(edges))
-    score = both.select(F.col("a").alias("node")).distinct().withColumn("x", F.lit(1.0))
-    for k in range(rounds):
+    score, total = store.put(both.select(F.col("a").alias("node")).distinct().withColumn("x", F.lit(1.0))), 1.0
+    for _ in range(rounds):
         near = both.join(score.select(F.col("node").alias("b"), "x"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("x").alias("y"))
-        score = score.join(near, "node").select("node", (F.col("x") * shift + F.col("y")).alias("x"))
-        total = score.agg(F.sum("x").alias("s"))  # one row
-        score = score.crossJoin(total).select("node", (F.col("x") / F.col("s")).alias("x"))
-        if k % 5 == 4:
-            score = store.put(score)
-    return score
+        new = store.put(score.join(near, "node").select("node", ((F.col("x") * shift + F.col("y")) / F.lit(total)).alias("x")))
+        store.drop(score)
+        score, total = new, new.agg(F.sum("x")).first()[0] or 1.0
+    return score.select("node", (F.col("x") / F.lit(total)).alias("x"))
 
 
 def k_core(edges: DataFrame, k: int, store: Store) -> DataFrame:
@@ -139,3 +140,176 @@ def k_core(edges: DataFrame, k: int, store: Store) -> DataFrame:
         if weak.isEmpty():
             return live
         live = store.put(live.join(weak, live.a == weak.node, "left_anti").join(weak, F.col("b") == weak.node, "left_anti"))
+
+
+def path_lengths(edges: DataFrame, sources: DataFrame, spark: SparkSession) -> DataFrame:
+    """(source, node, distance) over connected pairs, breadth first from a stated set of sources.
+
+    ``edges`` are undirected (a, b), ``sources`` (node); each round is one join on the edges.
+    """
+    return descend(both_ways(edges).select(F.col("a").alias("parent"), F.col("b").alias("id")), sources.select(F.col("node").alias("id")), spark).where("depth > 0").select(F.col("root").alias("source"), F.col("id").alias("node"), F.col("depth").alias("distance"))
+
+
+def path_summary(paths: DataFrame, n_nodes: int, n_sources: int) -> DataFrame:
+    """Mean length and longest path over connected pairs, and the share of pairs that are connected."""
+    total = n_sources * (n_nodes - 1)
+    return paths.agg(F.avg("distance").alias("mean_path_length"), F.max("distance").alias("diameter"), (F.count("*") / F.lit(max(1, total))).alias("connected_fraction"))
+
+
+def cross_community(edges: DataFrame, labels: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs of nodes of different communities: all, connected ones, and edges between them.
+
+    ``labels`` (node, community) lists every node, ``parts`` (node, label) the components of
+    nodes with edges.  Pairs are counted from sizes, never listed.
+    """
+    pairs = lambda c: (c * (c - 1) / 2).cast("double")
+    every = labels.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    cells = every.groupBy("label", "community").agg(F.count("*").alias("k"))
+    inside = cells.groupBy("label").agg((pairs(F.sum("k")) - F.sum(pairs(F.col("k")))).alias("x")).agg(F.sum("x").alias("connected_cross_pairs"))
+    sizes = cells.groupBy("community").agg(F.sum("k").alias("k")).agg((pairs(F.sum("k")) - F.sum(pairs(F.col("k")))).alias("total_cross_pairs"))
+    side = lambda n, c: labels.select(F.col("node").alias(n), F.col("community").alias(c))
+    cross = edges.join(side("a", "ca"), "a").join(side("b", "cb"), "b").agg(F.count_if(F.col("ca") != F.col("cb")).alias("cross_edges"))
+    return inside.crossJoin(sizes).crossJoin(cross).withColumn("fraction", F.coalesce(F.col("connected_cross_pairs") / F.nullif("total_cross_pairs", F.lit(0.0)), F.lit(0.0)))  # one row each
+
+
+def remove_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    gone = nodes.select("node")
+    return edges.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti")
+
+
+def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges less those of ``gone``, in either direction."""
+    return edges.join(both_ways(gone), ["a", "b"], "left_anti")
+
+
+def loop_dominance(loops: DataFrame, top: int = 10) -> DataFrame:
+    """(loop, gain, polarity, length) ranked by absolute gain, with the share of all gains."""
+    total = loops.agg(F.sum(F.abs("gain")).alias("_all"))  # one row
+    best = loops.orderBy(F.desc(F.abs("gain")), "length", "loop").limit(top)
+    w = Window.orderBy(F.desc(F.abs("gain")), "length", "loop")
+    return best.crossJoin(total).select("loop", "polarity", "gain", F.row_number().over(w).alias("rank"), (F.abs("gain") / F.nullif("_all", F.lit(0))).alias("gain_share"))
+
+
+def on_cycles(edges: DataFrame, spark: SparkSession) -> DataFrame:
+    """Nodes of (src, dst) edges that lie on a directed cycle: justifications that rest on themselves.
+
+    Nodes without a way in or out are peeled first, which leaves only cycles and what lies
+    between them; then each is asked whether it reaches itself.
+    """
+    store = Store(spark, "cycles")
+    live = store.put(edges.select("src", "dst").distinct())
+    n, before = live.count(), -1
+    while n != before:
+        before = n
+        live = store.put(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        n = live.count()
+    step = live.select(F.col("src").alias("parent"), F.col("dst").alias("id"))
+    loops = live.where("src = dst").select(F.col("src").alias("node"))
+    starts = live.where("src <> dst").select(F.col("dst").alias("id")).distinct()
+    back = descend(step, starts, spark).select(F.col("root").alias("dst"), F.col("id").alias("src"))  # dst reaches src
+    return live.where("src <> dst").join(back, ["src", "dst"], "left_semi").select(F.col("src").alias("node")).union(loops).distinct()
+
+
+MOST_TRAVERSALS = 64  # Fixed value: loop budget of a cyclic component
+
+
+def validate_topology(nodes: DataFrame, edges: DataFrame, spark: SparkSession) -> DataFrame:
+    """(rule, item) of everything that keeps a topology from running.
+
+    ``nodes`` (id, is_entry, is_terminal); ``edges`` (src, dst, probability, max_traversals or null,
+    attempts).  Rules: reachable from the entry, reaches a terminal, no cycle of unbounded
+    edges, loop budget within bounds, outgoing probability in (0, 1], and 1 at the entry.
+    """
+    step = edges.select(F.col("src").alias("parent"), F.col("dst").alias("id"))
+    turned = edges.select(F.col("dst").alias("parent"), F.col("src").alias("id"))
+    seen = descend(step, nodes.where("is_entry").select("id"), spark).select("id").distinct()
+    ends = descend(turned, nodes.where("is_terminal").select("id"), spark).select("id").distinct()
+    loops = on_cycles(edges, spark)
+    free = on_cycles(edges.where("max_traversals IS NULL"), spark)
+    # of the edges inside cycles, by component
+    inside = edges.join(loops.select(F.col("node").alias("src")), "src", "left_semi").join(loops.select(F.col("node").alias("dst")), "dst", "left_semi")
+    store = Store(spark, "topology")
+    ids = nodes.select("id", F.xxhash64("id").alias("h"))
+    inside = store.put(inside.join(ids.select(F.col("id").alias("src"), F.col("h").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("h").alias("b")), "dst"))
+    label = components(inside, store)
+    budget = inside.join(label.select(F.col("node").alias("a"), "label"), "a", "left").groupBy(F.coalesce("label", "a").alias("label")).agg(F.sum(F.col("max_traversals") * F.col("attempts")).alias("budget"), F.min("src").alias("item"))
+    mass = nodes.join(edges.groupBy(F.col("src").alias("id")).agg(F.sum("probability").alias("mass")), "id", "left")
+    found = lambda df, rule, item="id": df.select(F.lit(rule).alias("rule"), F.col(item).cast("string").alias("item"))
+    parts = [
+        found(nodes.join(seen, "id", "left_anti"), "unreachable"),
+        found(nodes.join(ends, "id", "left_anti"), "cannot_end"),
+        found(free, "unbounded_cycle", "node"),
+        found(budget.where(F.col("budget") > MOST_TRAVERSALS), "loop_budget", "item"),
+        found(mass.where("NOT is_terminal AND mass IS NULL"), "no_way_out"),
+        found(mass.where("mass <= 0 OR mass > 1.000001"), "probability_mass"),
+        found(mass.where("is_entry AND abs(coalesce(mass, 0) - 1) > 0.000001"), "entry_mass"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def label_propagation(edges: DataFrame, spark: SparkSession, rounds: int = 20) -> DataFrame:
+    """(node, community): each round a node takes the most frequent label around it, the least of equals.
+
+    Rounds are synchronous, with the node's own label counted once; they end when nothing
+    changes or after ``rounds``.
+    """
+    store = Store(spark, "labels")
+    both = store.put(both_ways(edges))
+    label = store.put(both.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
+    for _ in range(rounds):
+        votes = both.join(label.select(F.col("node").alias("b"), "community"), "b").select(F.col("a").alias("node"), "community").unionByName(label)
+        new = votes.groupBy("node", "community").agg(F.count("*").alias("k")).groupBy("node").agg(F.min_by("community", F.struct(-F.col("k"), F.col("community"))).alias("community"))
+        new = store.put(new)
+        changed = new.join(label.withColumnRenamed("community", "old"), "node").where("community <> old")
+        done = changed.isEmpty()
+        store.drop(label)
+        label = new
+        if done:
+            break
+    return label
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
+    """(node, betweenness) of an undirected graph, summed over a stated set of sources.
+
+    One breadth-first pass per source over the edge list, which is broadcast and refused
+    beyond ``most_edges`` (16 bytes each); sources are spread over tasks.
+    """
+    import numpy as np
+    import pandas as pd
+
+    n = edges.count()
+    if n > most_edges:
+        raise ValueError(f"{n} edges; the broadcast holds {most_edges}")
+    got = edges.select("a", "b").toArrow()
+    shared = edges.sparkSession.sparkContext.broadcast((got["a"].to_numpy(), got["b"].to_numpy()))
+
+    def step(batches):
+        a, b = shared.value
+        ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+        src, dst = np.concatenate([flat[: len(a)], flat[len(a) :]]), np.concatenate([flat[len(a) :], flat[: len(a)]])
+        total = np.zeros(len(ids))
+        for pdf in batches:
+            for s in pdf.node:
+                at = int(np.searchsorted(ids, s))
+                if at == len(ids) or ids[at] != s:
+                    continue
+                depth, ways, level = np.full(len(ids), -1), np.zeros(len(ids)), 0
+                depth[at], ways[at] = 0, 1
+                while True:  # level by level over all edges
+                    front = (depth[src] == level) & ((depth[dst] < 0) | (depth[dst] == level + 1))
+                    if not front.any():
+                        break
+                    depth[dst[front]] = level + 1
+                    np.add.at(ways, dst[front], ways[src[front]])
+                    level += 1
+                owed = np.zeros(len(ids))
+                for k in range(level, 0, -1):
+                    down = (depth[dst] == k) & (depth[src] == k - 1)
+                    np.add.at(owed, src[down], ways[src[down]] / ways[dst[down]] * (1 + owed[dst[down]]))
+                owed[at] = 0
+                total += owed
+        hit = total > 0
+        yield pd.DataFrame({"node": ids[hit], "x": total[hit]})
+
+    return sources.select("node").mapInPandas(step, "node long, x double").groupBy("node").agg((F.sum("x") / 2).alias("betweenness"))

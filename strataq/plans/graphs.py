@@ -174,3 +174,119 @@ def cascade_stats(t):
     s = a.withColumns({"age": F.col("at") - F.min("at").over(g), "k": F.row_number().over(g.orderBy("at", "user_id")), "n": F.count("*").over(g)})
     out = s.groupBy("cascade").agg(F.count("*").alias("size"), F.max("age").alias("duration"), F.min(F.when(2 * F.col("k") >= F.col("n"), F.col("age"))).alias("half_time"), F.avg("age").alias("mean_age"), F.count_if(F.col("age") <= 86400).alias("first_day"))
     return rounded(out, "duration", "half_time", "mean_age", places=3)
+
+
+_N3 = "SELECT node FROM g ORDER BY degree DESC, node LIMIT 3"
+
+
+def hubs(t):
+    return G.degrees(edges(t)).orderBy(F.desc("degree"), "node").limit(3).select("node")
+
+
+@query(
+    "path_lengths",
+    f"""WITH RECURSIVE {_E}, {_B}, s AS ({_N3}), r(source, node, d) AS (SELECT node, node, 0 FROM s UNION SELECT r.source, w.b, r.d + 1 FROM r JOIN w ON w.a = r.node WHERE r.d < 12), m AS (SELECT source, node, min(d) AS d FROM r GROUP BY 1, 2 HAVING min(d) > 0)
+SELECT round(avg(d), 6) AS mean_path_length, CAST(max(d) AS INTEGER) AS diameter, round(count(*) / CAST(3 * ((SELECT count(*) FROM g) - 1) AS DOUBLE), 6) AS connected_fraction FROM m""",
+)
+def path_lengths(t):
+    e = Store(t.spark, "paths").put(edges(t))
+    n = G.degrees(e).count()
+    return rounded(G.path_summary(G.path_lengths(e, hubs(t), t.spark), n, 3), "mean_path_length", "connected_fraction")
+
+
+@query(
+    "remove_hubs",
+    f"WITH {_E}, {_B}, s AS ({_N3}), x AS (SELECT a, b FROM e WHERE a NOT IN (SELECT node FROM s) AND b NOT IN (SELECT node FROM s)) SELECT (SELECT count(*) FROM e) AS edges_before, count(*) AS edges_after, (SELECT count(*) FROM (SELECT a FROM x UNION SELECT b FROM x)) AS nodes_after FROM x",
+)
+def remove_hubs(t):
+    e = edges(t)
+    x = G.remove_nodes(e, hubs(t))
+    nodes = G.degrees(x).agg(F.count("*").alias("nodes_after"))  # one row each
+    return e.agg(F.count("*").alias("edges_before")).crossJoin(x.agg(F.count("*").alias("edges_after"))).crossJoin(nodes)
+
+
+@query("remove_edges", f"WITH {_E}, x AS (SELECT a, b FROM e WHERE NOT (a < 50 AND b > 100)) SELECT a AS node, count(*) AS edges FROM x GROUP BY a")
+def remove_some_edges(t):
+    e = edges(t)
+    gone = e.where("a < 50 AND b > 100").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return G.remove_edges(e, gone).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("edges"))
+
+
+_C = """n AS (SELECT DISTINCT user_id AS node FROM events), l AS (SELECT node, node % 3 AS community FROM n), e AS (SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON b.node = a.node + 7)"""
+
+
+@query(
+    "cross_community",
+    f"""WITH {_C}, p AS (SELECT node, community, node % 7 AS start, node - lag(node) OVER (PARTITION BY node % 7 ORDER BY node) = 7 AS linked FROM l), c AS (SELECT node, community, start || '-' || sum(CASE WHEN linked THEN 0 ELSE 1 END) OVER (PARTITION BY start ORDER BY node) AS comp FROM p),
+k AS (SELECT comp, community, CAST(count(*) AS DOUBLE) AS k FROM c GROUP BY 1, 2), i AS (SELECT sum(x) AS x FROM (SELECT sum(k) * (sum(k) - 1) / 2 - sum(k * (k - 1) / 2) AS x FROM k GROUP BY comp)), t AS (SELECT sum(k) * (sum(k) - 1) / 2 - sum(k * (k - 1) / 2) AS x FROM (SELECT sum(k) AS k FROM k GROUP BY community))
+SELECT i.x AS connected_cross_pairs, t.x AS total_cross_pairs, (SELECT count(*) FROM e WHERE a % 3 <> b % 3) AS cross_edges, round(i.x / t.x, 6) AS fraction FROM i, t""",
+)
+def cross_community(t):
+    n = t.events.select(F.col("user_id").alias("node")).distinct()
+    e = n.select(F.col("node").alias("a"), (F.col("node") + 7).alias("b")).join(n.select(F.col("node").alias("b")), "b").select("a", "b")
+    labels = n.withColumn("community", F.col("node") % 3)
+    return rounded(G.cross_community(e, labels, G.components(e, Store(t.spark, "cross"))), "fraction")
+
+
+@query(
+    "loop_dominance",
+    f"""WITH {_F}, v AS (SELECT src, dst, w * (src + dst + 1) AS w FROM f), l AS (SELECT a.src || '-' || a.dst AS loop, a.w * b.w AS gain, 2 AS length FROM v a JOIN v b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT a.src || '-' || a.dst || '-' || b.dst, a.w * b.w * c.w, 3 FROM v a JOIN v b ON a.dst = b.src JOIN v c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst)
+SELECT loop, CASE WHEN gain < 0 THEN 'balancing' ELSE 'reinforcing' END AS polarity, CAST(gain AS BIGINT) AS gain, CAST(row_number() OVER (ORDER BY abs(gain) DESC, length, loop) AS INTEGER) AS rank, round(abs(gain) / CAST((SELECT sum(abs(gain)) FROM l) AS DOUBLE), 8) AS gain_share FROM l QUALIFY row_number() OVER (ORDER BY abs(gain) DESC, length, loop) <= 10""",
+)
+def loop_dominance(t):
+    s, d = F.col("l_suppkey") % 12, F.col("l_partkey") % 12
+    sign = F.when(F.round(F.avg("l_discount"), 12) > 0.05, 1).otherwise(-1).cast("long")
+    e = t.lineitem.where(s != d).groupBy(s.alias("src"), d.alias("dst")).agg(sign.alias("sign")).select("src", "dst", (F.col("sign") * (F.col("src") + F.col("dst") + 1)).alias("weight"))
+    loops = G.cycles(e, 3).select(F.array_join(F.col("path").cast("array<string>"), "-").alias("loop"), F.size("path").alias("length"), "gain", "polarity")
+    return rounded(G.loop_dominance(loops), "gain_share", places=8)
+
+
+_J = "j AS (SELECT DISTINCT c_nationkey AS src, (c_custkey * 7 + 3) % 25 AS dst FROM customer WHERE c_acctbal < -800)"
+
+
+@query(
+    "claim_cycles",
+    f"WITH RECURSIVE {_J}, r(a, b) AS (SELECT src, dst FROM j UNION SELECT r.a, j.dst FROM r JOIN j ON j.src = r.b) SELECT DISTINCT a AS node FROM r WHERE a = b",
+)
+def claim_cycles(t):
+    return G.on_cycles(t.customer.where("c_acctbal < -800").select(F.col("c_nationkey").alias("src"), ((F.col("c_custkey") * 7 + 3) % 25).alias("dst")), t.spark)
+
+
+@query(
+    "topology_findings",
+    """WITH RECURSIVE n AS (SELECT n_nationkey AS id, n_nationkey = 0 AS is_entry, n_nationkey IN (20, 21) AS is_terminal FROM nation), e AS (SELECT n_nationkey AS src, n_nationkey + 3 AS dst, 0.5 AS probability, 2 AS trav FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey, n_nationkey - 6, CASE WHEN n_nationkey = 9 THEN 0.9 ELSE 0.25 END, CASE WHEN n_nationkey = 12 THEN NULL ELSE 30 END FROM nation WHERE n_nationkey IN (9, 12, 16) UNION ALL SELECT 0, 6, 0.5, 1),
+f(id) AS (SELECT id FROM n WHERE is_entry UNION SELECT e.dst FROM f JOIN e ON e.src = f.id), b(id) AS (SELECT id FROM n WHERE is_terminal UNION SELECT e.src FROM b JOIN e ON e.dst = b.id), c(a, z) AS (SELECT src, dst FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON e.src = c.z), u(a, z) AS (SELECT src, dst FROM e WHERE trav IS NULL UNION SELECT u.a, e.dst FROM u JOIN e ON e.src = u.z WHERE e.trav IS NULL),
+k AS (SELECT DISTINCT a AS id FROM c WHERE a = z), comp AS (SELECT k.id, (SELECT min(c.z) FROM c WHERE c.a = k.id AND c.z IN (SELECT id FROM k) AND EXISTS (SELECT 1 FROM c d WHERE d.a = c.z AND d.z = k.id)) AS l FROM k),
+bud AS (SELECT x.l, sum(e.trav * 2) AS budget, min(e.src) AS item FROM e JOIN comp x ON x.id = e.src JOIN comp y ON y.id = e.dst GROUP BY x.l), m AS (SELECT n.id, is_entry, is_terminal, sum(probability) AS mass FROM n LEFT JOIN e ON e.src = n.id GROUP BY 1, 2, 3)
+SELECT 'unreachable' AS rule, CAST(id AS VARCHAR) AS item FROM n WHERE id NOT IN (SELECT id FROM f) UNION ALL SELECT 'cannot_end', CAST(id AS VARCHAR) FROM n WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT DISTINCT 'unbounded_cycle', CAST(a AS VARCHAR) FROM u WHERE a = z UNION ALL SELECT 'loop_budget', CAST(item AS VARCHAR) FROM bud WHERE budget > 64
+UNION ALL SELECT 'no_way_out', CAST(id AS VARCHAR) FROM m WHERE NOT is_terminal AND mass IS NULL UNION ALL SELECT 'probability_mass', CAST(id AS VARCHAR) FROM m WHERE mass <= 0 OR mass > 1.000001 UNION ALL SELECT 'entry_mass', CAST(id AS VARCHAR) FROM m WHERE is_entry AND abs(coalesce(mass, 0) - 1) > 0.000001""",
+)
+def topology_findings(t):
+    k = F.col("n_nationkey")
+    n = t.nation.select(k.alias("id"), (k == 0).alias("is_entry"), k.isin(20, 21).alias("is_terminal"))
+    row = lambda dst, p, m: [k.alias("src"), dst.cast("long").alias("dst"), p.cast("double").alias("probability"), m.cast("int").alias("max_traversals"), F.lit(2).alias("attempts")]
+    e = t.nation.where("n_nationkey < 20").select(*row(k + 3, F.lit(0.5), F.lit(2)))
+    e = e.unionByName(t.nation.where("n_nationkey IN (9, 12, 16)").select(*row(k - 6, F.when(k == 9, 0.9).otherwise(0.25), F.when(k != 12, 30))))
+    e = e.unionByName(t.nation.where("n_nationkey = 0").select(*row(F.lit(6), F.lit(0.5), F.lit(1))))
+    return G.validate_topology(n, e, t.spark)
+
+
+@query("k_core")  # peeling and iterations: tested against brute force
+def k_core(t):
+    return G.degrees(G.k_core(edges(t), 12, Store(t.spark, "core")))
+
+
+@query("eigenvector_centrality")
+def eigenvector_centrality(t):
+    return rounded(G.eigenvector(edges(t), Store(t.spark, "eigen"), rounds=12).withColumnRenamed("x", "centrality"), "centrality", places=8)
+
+
+@query("communities")
+def communities(t):
+    return G.label_propagation(edges(t), t.spark)
+
+
+@query("betweenness")
+def betweenness(t):
+    """Paths from the three nodes of highest degree."""
+    return rounded(G.betweenness(edges(t), hubs(t)), "betweenness")
