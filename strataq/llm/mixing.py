@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import SPACED_RE, Store, table
 
 WEIGHTS, SHARE, MOST, BLOCK, SEED = (3, 1, 2), 1.5, 2.0, 4096, 29
-KEPT = 1_000_000  # decisions that are broadcast to the rows they were made for
+KEPT = 500_000  # decisions that are broadcast to the rows they were made for, about 200 bytes each
 TAKEN = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
 EPS = 1e-9
 
@@ -174,7 +174,7 @@ def taken_rows(docs: DataFrame, most_rows: int = KEPT, **options) -> DataFrame:
     """The rows of ``docs`` of which words are taken: all columns, and the mix's.
 
     Rows are found again by their id, source and size.  Where these name one row, what the
-    mix decided is broadcast to the rows (up to ``most_rows`` decisions of about 60 bytes;
+    mix decided is broadcast to the rows (up to ``most_rows`` decisions of about 200 bytes;
     more are joined by shuffle), so texts stay where they are.  Rows that repeat all three
     share the copies they got together: each has its whole part, and the first ones by
     task and text the rest, numbered inside tasks, so a row repeated very often is many
