@@ -13,10 +13,19 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BINARY = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b, ast.Pow: lambda a, b: F.pow(a, b)}
+def _power(a, b):
+    low, whole = (a == 0) & (b < 0), b == F.floor(b)
+    ok = F.abs(b) <= MOST_POWER
+    return F.when(~ok, F.raise_error(F.lit("an exponent out of bounds")).cast("double")).when((a < 0) & ~whole, F.raise_error(F.lit("a fractional power of a negative number")).cast("double")).when(low, F.raise_error(F.lit("a negative power of zero")).cast("double")).otherwise(F.pow(a, b))
+
+
+_BINARY = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b, ast.Pow: _power}
 _COMPARE = {ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
 
 
+MOST_POWER = 64  # Fixed value: largest size of an exponent
+
+
 def _checked(ok: Column, value: Column, fault: str) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.lit(fault)).cast("double"))
 
@@ -25,11 +34,11 @@ _CALLS = {
     "min": ((2, 8), lambda *a: F.least(*a)),
     "max": ((2, 8), lambda *a: F.greatest(*a)),
     "exp": ((1, 1), lambda x: _checked(x <= 700, F.exp(x), "exp overflows")),
-    "log": ((1, 2), lambda x, b=None: _checked(x > 0, F.log(x) if b is None else F.log(x) / F.log(b), "log of a number that is not positive")),
+    "log": ((1, 2), lambda x, b=None: _checked(x > 0, F.log(x) if b is None else _checked((b > 0) & (b != 1), F.log(x) / F.log(b), "a base of log that is not positive, or 1"), "log of a number that is not positive")),
     "sqrt": ((1, 1), lambda x: _checked(x >= 0, F.sqrt(x), "square root of a negative number")),
     "abs": ((1, 1), F.abs),
     "tanh": ((1, 1), F.tanh),
-    "clip": ((3, 3), lambda x, a, b: F.least(F.greatest(x, a), b)),
+    "clip": ((3, 3), lambda x, a, b: _checked(a <= b, F.least(F.greatest(x, a), b), "clip with its bounds the wrong way round")),
     "where": ((3, 3), lambda c, a, b: F.when(c, a).otherwise(b)),
 }
 

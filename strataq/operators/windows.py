@@ -113,35 +113,45 @@ def best_split(df: DataFrame, key: str, order: Sequence[str], value: str, least:
     )
 
 
-def segments(values: np.ndarray, least: int = 10, penalty: float | None = None) -> list[int]:
-    """Change points by greedy binary segmentation with a BIC-like penalty."""
+# Parameters of a segment (mean and variance), least size and most segments.
+PARAMETERS, LEAST_SIZE, MOST_SEGMENTS = 2, 5, 6
+
+
+def segments(values: np.ndarray, least: int = LEAST_SIZE, most: int = MOST_SEGMENTS, penalty: float | None = None) -> list[int]:
+    """Change points by greedy binary segmentation under a Gaussian cost.
+
+    Each round takes the best split of all segments, the earliest of equals, while it lowers
+    the cost by more than the penalty: (parameters + 1) ln n unless stated.
+    """
     x = np.asarray(values, float)
     n = len(x)
     s, q = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
+    floor = 1e-12 * max(1.0, float(x.var()) if n else 1.0)
 
     def cost(a, b):
-        return (b - a) * np.log(np.maximum((q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)) / (b - a), 1e-12))
-
-    penalty = 2 * np.log(max(n, 2)) if penalty is None else penalty
-    cuts, todo = [], [(0, n)]
-    while todo:
-        a, b = todo.pop()
-        k = np.arange(a + least, b - least + 1)
-        if not len(k):
-            continue
-        gain = cost(a, b) - (cost(a, k) + cost(k, b))
-        best = int(np.argmax(gain))
-        if gain[best] > penalty:
-            cuts.append(int(k[best]))
-            todo += [(a, int(k[best])), (int(k[best]), b)]
-    return sorted(cuts)
-
-
-def regime_segments(df: DataFrame, key: str, order: Sequence[str], value: str, least: int = 10) -> DataFrame:
+        return (b - a) * np.log(np.maximum(np.maximum(q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a), 0) / (b - a), floor))
+
+    penalty = (PARAMETERS + 1) * np.log(max(n, 1)) if penalty is None else penalty
+    ends = [0, n]
+    while len(ends) - 1 < most:
+        best = (-np.inf, 0)
+        for a, b in zip(ends, ends[1:]):
+            k = np.arange(a + least, b - least + 1)
+            if len(k):
+                gain = cost(a, b) - (cost(a, k) + cost(k, b))
+                i = int(np.argmax(gain))
+                best = max(best, (float(gain[i]), int(k[i])), key=lambda g: g[0])
+        if best[0] <= penalty:
+            break
+        ends = sorted([*ends, best[1]])
+    return ends[1:-1]
+
+
+def regime_segments(df: DataFrame, key: str, order: Sequence[str], value: str, least: int = LEAST_SIZE, most: int = MOST_SEGMENTS) -> DataFrame:
     def step(pdf):
         pdf = pdf.sort_values(list(order), kind="stable")
         x = pdf[value].to_numpy(float)
-        ends = [0, *segments(x, least), len(x)]
+        ends = [0, *segments(x, least, most), len(x)]
         return pd.DataFrame({"series": [str(pdf[key].iloc[0])] * (len(ends) - 1), "start": ends[:-1], "stop": ends[1:], "mean": [x[a:b].mean() for a, b in zip(ends, ends[1:])]})
 
     return df.select(key, *order, value).groupBy(key).applyInPandas(step, "series string, start long, stop long, mean double")

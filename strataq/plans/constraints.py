@@ -66,7 +66,7 @@ def generated_checks(t):
     return out
 
 
-@query("conservation_report", "WITH s AS (SELECT o_orderpriority AS scenario, o_custkey AS replicate, o_orderkey AS at, o_totalprice AS a, o_custkey + 0.0 AS b FROM orders), r AS (SELECT *, first_value(a + b) OVER (PARTITION BY scenario, replicate ORDER BY at) AS initial FROM s) SELECT scenario, replicate, count(*) AS n, round(min(initial), 2) AS initial, round(max(abs(a + b - initial)), 2) AS drift, round(min(least(a, b)), 2) AS least_stock, min(least(a, b)) >= 0 AS non_negative, max(abs(a + b - initial)) <= 1e-9 * greatest(1, abs(min(initial))) AS conserved FROM r GROUP BY 1, 2")
+@query("conservation_report", "WITH s AS (SELECT o_orderpriority AS scenario, o_custkey AS replicate, o_orderkey AS tm, o_totalprice AS a, o_custkey + 0.0 AS b FROM orders), r AS (SELECT *, first_value(a + b) OVER (PARTITION BY scenario, replicate ORDER BY tm) AS initial FROM s) SELECT scenario, replicate, count(*) AS n, round(min(initial), 2) AS initial, round(max(abs(a + b - initial)), 2) AS drift, round(min(least(a, b)), 2) AS least_stock, min(least(a, b)) >= 0 AS non_negative, max(abs(a + b - initial)) <= 1e-9 * greatest(1, abs(min(initial))) AS conserved FROM r GROUP BY 1, 2")
 def conservation_report(t):
     s = t.orders.select(F.col("o_orderpriority").alias("scenario"), F.col("o_custkey").alias("replicate"), F.col("o_orderkey").alias("at"), F.col("o_totalprice").alias("a"), (F.col("o_custkey") + 0.0).alias("b"))
     return rounded(C.conservation_report(s, ["scenario", "replicate"], ["a", "b"], "at"), "initial", "drift", "least_stock", places=2)

@@ -6,27 +6,37 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import compile_expression
-from ..functions.units import convert
+from ..functions.units import UNITS, convert, parse_dimension, spell, unit_definitions
 from ..operators.joins import normalize_name as normal
 from ..operators.ordered import lagged
 from ..operators.records import scene_frames
 from ..operators.text import chunks, tfidf_search
 from ..session import day, epoch, r6
+from ..sources.readers import admit
 from .base import query
 from .scoring import rounded
 
 
+_PACK = """r AS (SELECT o_orderkey AS id, o_custkey AS g, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'P' THEN 'development' ELSE 'confirmation' END AS split, o_totalprice / 450000 AS price, epoch(o_orderdate) AS cutoff, epoch(o_orderdate) + (o_orderkey % 5) * 86400 AS resolved, epoch(o_orderdate) + 86400 * (1 - o_custkey % 9) AS event FROM orders),
+g AS (SELECT g, count(DISTINCT split) AS s, count(DISTINCT cutoff) AS c FROM r GROUP BY 1), m AS (SELECT split, max(resolved) AS last, min(cutoff) AS first, count(DISTINCT g) AS n FROM r GROUP BY 1)"""
+
+
 @query(
     "pit_admission",
-    """WITH o AS (SELECT o_custkey AS g, epoch(o_orderdate) AS cutoff, o_totalprice AS price, o_orderstatus FROM orders), r AS (SELECT g, max(cutoff) AS last_cut FROM o WHERE o_orderstatus = 'F' GROUP BY 1),
-v AS (SELECT o.g, o_orderstatus AS split, price BETWEEN 0 AND 450000 AS priced, cutoff < last_cut AS in_time FROM o LEFT JOIN r ON r.g = o.g)
-SELECT split, count(*) AS n_rows, count(DISTINCT g) AS n_groups, CAST(sum(CASE WHEN priced THEN 0 ELSE 1 END) AS BIGINT) AS bad_price, CAST(sum(CASE WHEN in_time THEN 0 ELSE 1 END) AS BIGINT) AS late, CAST(sum(CASE WHEN priced AND coalesce(in_time, false) THEN 1 ELSE 0 END) AS BIGINT) AS admitted FROM v GROUP BY split""",
+    f"""WITH {_PACK}, f AS (SELECT r.split, unnest(list_filter([CASE WHEN NOT (price BETWEEN 0 AND 1) THEN 'price' END, CASE WHEN NOT cutoff < resolved THEN 'resolved_early' END, CASE WHEN NOT cutoff < event THEN 'event_early' END, CASE WHEN NOT (g.s = 1 AND g.c = 1) THEN 'mixed_group' END, CASE WHEN m.n < 2 THEN 'few_groups' END,
+ CASE WHEN NOT coalesce((SELECT max(p.last) FROM m p WHERE p.split = CASE r.split WHEN 'development' THEN 'train' WHEN 'confirmation' THEN 'development' END) < m.first, true) THEN 'splits_overlap' END], lambda x: x IS NOT NULL)) AS fault FROM r JOIN g USING (g) JOIN m ON m.split = r.split)
+SELECT split, fault, count(*) AS n FROM f GROUP BY 1, 2""",
 )
 def pit_admission(t):
-    o = t.orders.select(F.col("o_custkey").alias("g"), epoch("o_orderdate").alias("cutoff"), "o_totalprice", F.col("o_orderstatus").alias("split"))
-    r = o.where("split = 'F'").groupBy("g").agg(F.max("cutoff").alias("last_cut"))
-    priced, in_time = F.col("o_totalprice").between(0, 450000), F.coalesce(F.col("cutoff") < F.col("last_cut"), F.lit(False))
-    return o.join(r, "g", "left").groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("g").alias("n_groups"), F.count_if(~priced).alias("bad_price"), F.count_if(~in_time).alias("late"), F.count_if(priced & in_time).alias("admitted"))
+    """Orders as rows of a pack, customers as its event groups, through the admission rules."""
+    at = lambda days: F.date_format((F.col("o_orderdate").cast("timestamp").cast("long") + 86400 * days).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    split = F.when(F.col("o_orderstatus") == "F", "train").when(F.col("o_orderstatus") == "P", "development").otherwise("confirmation")
+    rows = t.orders.select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("event_group"), split.alias("split"), F.lit("above the line").alias("contract"), F.lit("line").alias("source_span"),
+        F.lit("greater_than").alias("predicate"), F.lit("USD").alias("unit"), (F.col("o_totalprice") / 450000).alias("price"), F.lit(1).alias("label"), at(F.lit(-1)).alias("rules_available_at"), at(F.lit(-1)).alias("observed_at"),
+        at(F.lit(0)).alias("available_at"), at(F.lit(0)).alias("cutoff"), at(F.col("o_orderkey") % 5).alias("resolved_at"), at(1 - F.col("o_custkey") % 9).alias("event_time"),
+    )
+    return admit(rows).select("split", F.explode("faults").alias("fault")).groupBy("split", "fault").agg(F.count("*").alias("n"))
 
 
 @query("expr_eval", "SELECT l_returnflag, round(sum(CASE WHEN l_quantity > 25 AND l_tax < 0.05 THEN least(greatest(l_extendedprice * (1 - l_discount), 1000), 60000) ELSE sqrt(l_extendedprice) END), 2) AS total, round(max(ln(l_quantity + 1) * pow(l_discount, 2)), 6) AS top FROM lineitem GROUP BY 1")
@@ -157,14 +167,34 @@ def crn_uniform(t):
 
 @query(
     "unit_convert",
-    """SELECT p_partkey, round(CASE p_size % 4 WHEN 0 THEN p_size * 1000 WHEN 1 THEN p_size * CAST(1609.344 AS DOUBLE) WHEN 2 THEN p_size * CAST(0.3048 AS DOUBLE) END, 6) AS metres FROM part""",
+    """SELECT p_partkey, round(CASE p_size % 4 WHEN 0 THEN p_size * 1000 WHEN 1 THEN p_size * CAST(0.01 AS DOUBLE) WHEN 2 THEN p_size * CAST(0.001 AS DOUBLE) END, 6) AS metres FROM part""",
 )
 def unit_convert(t):
-    unit = F.when(F.col("p_size") % 4 == 0, "km").when(F.col("p_size") % 4 == 1, "mi").when(F.col("p_size") % 4 == 2, "ft").otherwise("kg")
+    unit = F.when(F.col("p_size") % 4 == 0, "km").when(F.col("p_size") % 4 == 1, "cm").when(F.col("p_size") % 4 == 2, "mm").otherwise("kg")
     rows = t.part.select("p_partkey", F.col("p_size").cast("double").alias("v"), unit.alias("u"), F.lit("m").alias("target"))
     return convert(rows, "v", "u", "target").select("p_partkey", r6(F.col("converted")).alias("metres"))
 
 
+@query(
+    "unit_harmonise",
+    """SELECT event_type, count(*) AS n, round(avg(CASE event_type WHEN 'click' THEN (value - 32) * 5 / CAST(9 AS DOUBLE) WHEN 'view' THEN value - 273.15 ELSE value END), 6) AS mean_deg_c, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS refused FROM (SELECT event_type, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events) GROUP BY 1""",
+)
+def unit_harmonise(t):
+    """Every row has its own unit; a unit of another dimension is refused."""
+    e = F.col("event_type")
+    rows = t.events.select("event_type", "value", F.when(e == "click", "deg_f").when(e == "view", "K").when(e == "error", "kg").otherwise("degC").alias("u"), F.lit("deg_c").alias("target"))
+    out = convert(rows, "value", "u", "target").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("converted").alias("mean_deg_c"), F.count_if(F.col("converted").isNull()).alias("refused"))
+    return rounded(out, "mean_deg_c")
+
+
+@query(
+    "unit_definitions",
+    "SELECT dimension, count(*) AS n, CAST(max(k) AS BIGINT) AS most_equivalent FROM (SELECT dimension, scale, o, count(*) AS k FROM (VALUES " + ", ".join(f"('{spell(parse_dimension(d))}', CAST({s!r} AS DOUBLE), CAST({o!r} AS DOUBLE))" for _, _, d, s, o in UNITS) + ") v(dimension, scale, o) GROUP BY 1, 2, 3) GROUP BY 1",
+)
+def unit_definitions_query(t):
+    return unit_definitions(t.spark).select("dimension", "scale", "offset", "equivalent").distinct().groupBy("dimension").agg(F.count("*").alias("n"), F.max("equivalent").alias("most_equivalent"))
+
+
 @query("json_props", "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, CAST(sum(CASE WHEN json_extract_string(props, '$.missing') IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without FROM events GROUP BY 1")
 def json_props(t):
     k = F.get_json_object("props", "$.k").cast("long")

@@ -59,9 +59,9 @@ def best_change_point(t):
     return rounded(W.best_split(daily(t), "k", ["t"], "v", 5).withColumn("split_at", F.col("split_at").cast("long")), "rss", "gain", places=2)
 
 
-@query("regime_segments")
+@query("regime_segments")  # a greedy loop: tested against brute force
 def regime_segments(t):
-    return rounded(W.regime_segments(daily(t), "k", ["t"], "v", 5), "mean")
+    return rounded(W.regime_segments(daily(t), "k", ["t"], "v"), "mean")
 
 
 _PH = "p AS (SELECT user_id, ts, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS c FROM events), q AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS phase FROM p)"

@@ -65,7 +65,7 @@ def geojson(collections: DataFrame, column: str) -> DataFrame:
     point = F.from_json("c", "array<double>")
     rings = F.when(F.col("kind") == "Polygon", F.from_json("c", "array<array<array<double>>>")).otherwise(F.array(F.array(point)))
     f = f.withColumn("rings", rings).withColumn("positions", F.flatten("rings"))
-    inside = F.forall("positions", lambda p: F.coalesce((F.size(p) >= 2) & F.abs(p[0]).between(0, 180) & F.abs(p[1]).between(0, 90), F.lit(False)))
+    inside = F.forall("positions", lambda p: F.coalesce((F.size(p) == 2) & F.abs(p[0]).between(0, 180) & F.abs(p[1]).between(0, 90), F.lit(False)))
     closed = F.forall("rings", lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)))
     fault = (
         F.when(F.coalesce(F.col("collection"), F.lit("")) != "FeatureCollection", "not_a_collection")
@@ -81,27 +81,36 @@ def prepared_pack(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select("domain", F.explode("rows").alias("r")).select("domain", "r.*")
 
 
+SPLITS = ("train", "development", "confirmation")  # Fixed values, in order
+
+
 def admit(rows: DataFrame) -> DataFrame:
     """Every row with ``faults``: the point-in-time rules it breaks, in order.
 
     Times need an offset; observed <= available <= cutoff < resolved, rules <=
-    cutoff < event; a group has one split and one cutoff; ids do not repeat.
+    cutoff < event; a group has one split and one cutoff; ids do not repeat; labels of
+    one split are resolved before the first cutoff of the next.
     """
     times = ("event_time", "rules_available_at", "observed_at", "available_at", "cutoff", "resolved_at")
     at = {c: F.when(F.col(c).rlike(OFFSET), F.col(c).try_cast("timestamp")) for c in times}
     group = rows.groupBy("event_group").agg(F.countDistinct("split").alias("_splits"), F.countDistinct("cutoff").alias("_cutoffs"))
     seen = rows.groupBy("id").agg(F.count("*").alias("_same"))
     splits = rows.groupBy("split").agg(F.countDistinct("event_group").alias("_groups"))
+    place = F.create_map(*[F.lit(x) for i, split in enumerate(SPLITS) for x in (split, i)])
+    ends = rows.select("split", at["resolved_at"].alias("r"), at["cutoff"].alias("c")).groupBy("split").agg(F.max("r").alias("_last"), F.min("c").alias("_first")).where(F.col("split").isin(*SPLITS))
+    before = ends.where(F.col("split") != SPLITS[-1]).select(F.array(*map(F.lit, SPLITS))[place[F.col("split")] + 1].alias("split"), "_last")
+    chronology = before.join(ends.select("split", "_first"), "split").select("split", (F.col("_last") < F.col("_first")).alias("_follows"))
+    splits = splits.join(chronology, "split", "left")
     out = rows.join(group, "event_group", "left").join(seen, "id", "left").join(splits, "split", "left")
     ok = lambda c: F.coalesce(c, F.lit(False))
     rules = [
-        ("repeated_id", ok(F.col("_same") == 1)), ("split", F.col("split").isin("train", "development", "confirmation")), ("unit", F.col("unit").isin("F", "C", "count", "USD", "percent")),
+        ("repeated_id", ok(F.col("_same") == 1)), ("split", F.col("split").isin(*SPLITS)), ("unit", F.col("unit").isin("F", "C", "count", "USD", "percent")),
         ("predicate", F.col("predicate") == "greater_than"), ("price", F.col("price").between(0, 1)), ("label", F.col("label").isin(0, 1)), ("span", F.contains("contract", "source_span")),
         ("time_text", F.array_size(F.array_compact(F.array(*at.values()))) == len(times)), ("observed_late", at["observed_at"] <= at["available_at"]), ("available_late", at["available_at"] <= at["cutoff"]),
         ("resolved_early", at["cutoff"] < at["resolved_at"]), ("rules_late", at["rules_available_at"] <= at["cutoff"]), ("event_early", at["cutoff"] < at["event_time"]),
-        ("mixed_group", (F.col("_splits") == 1) & (F.col("_cutoffs") == 1)), ("few_groups", F.col("_groups") >= 2),
+        ("mixed_group", (F.col("_splits") == 1) & (F.col("_cutoffs") == 1)), ("few_groups", F.col("_groups") >= 2), ("splits_overlap", F.coalesce("_follows", F.lit(True))),
     ]
-    return out.withColumn("faults", F.array_compact(F.array(*[F.when(~ok(c), F.lit(n)) for n, c in rules]))).drop("_splits", "_cutoffs", "_same", "_groups")
+    return out.withColumn("faults", F.array_compact(F.array(*[F.when(~ok(c), F.lit(n)) for n, c in rules]))).drop("_splits", "_cutoffs", "_same", "_groups", "_follows")
 
 
 def prediction_rows(rows: DataFrame) -> DataFrame:
