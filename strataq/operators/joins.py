@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import lagged
+
 BLOWUP, MAJORITY, MINOR, NEAR_SHOWN = 2.0, 0.5, 0.1, 32
 
 
@@ -115,6 +117,47 @@ def align_entities(left: DataFrame, right: DataFrame, match: float = 0.90, ambig
     return out.select(F.col("l_id").alias("left_id"), status.alias("status"), F.col("r_id").alias("best_id"), "score", F.coalesce("n", F.lit(0)).alias("n_candidates"))
 
 
+QUARTER = 900  # Fixed value: a constant shift by whole quarter hours looks like a clock
+COVERED = 0.999  # Fixed value: share of a span below which coverage is a warning
+
+
+def align_time(points: DataFrame, series: str, t: str, ties: Sequence[str], bucket: float = 3600.0) -> DataFrame:
+    """Profile of every series against the support that all share, and whether they line up.
+
+    Count, ends, span, distinct and modal step (the first seen of equals), repeated times,
+    share of the span inside the common support, and a verdict: blocked, resample_required,
+    aligned_as_declared.
+    """
+    s = lagged(points.select(series, t, *ties), [series], t, ties, {"_was": t}, bucket).withColumn("step", F.col(t) - F.col("_was"))
+    steps = s.groupBy(series, "step").agg(F.count("*").alias("k"), F.min(t).alias("_first"))
+    modal = steps.where("step > 0").groupBy(series).agg(F.min_by("step", F.struct(-F.col("k"), F.col("_first"))).alias("modal_step"), F.count("*").alias("n_steps"))
+    again = steps.where("step = 0").select(series, F.col("k").alias("duplicate_times"))
+    p = points.groupBy(series).agg(F.count("*").alias("n"), F.min(t).alias("start_at"), F.max(t).alias("end_at"), (F.max(t) - F.min(t)).alias("span"))
+    shared = p.agg(F.max("start_at").alias("a"), F.min("end_at").alias("b"))  # one row
+    verdict = F.when(F.col("b") < F.col("a"), "blocked").when(F.col("n_steps") == 1, "aligned_as_declared").otherwise("resample_required")
+    out = p.join(modal, series).join(again, series, "left").crossJoin(shared)
+    coverage = F.greatest(F.lit(0), F.col("b") - F.col("a")) / F.col("span")
+    return out.select(*p.columns, "n_steps", F.coalesce("duplicate_times", F.lit(0)).alias("duplicate_times"), "modal_step", (F.col("n_steps") == 1).alias("regular"), coverage.alias("coverage"), verdict.alias("verdict"))
+
+
+def clock_findings(left: DataFrame, right: DataFrame, t: str = "t") -> DataFrame:
+    """(finding, seconds) of two series of times that should be the same: shift, declared zone, coverage.
+
+    ``t`` are seconds and ``zone`` the declared offset; the k-th times are compared.  Finding
+    codes: suspected_clock_shift for one constant offset of whole quarter hours,
+    declared_timezone_mismatch, constant_offset, low_coverage.
+    """
+    number = lambda df, n: df.select(F.col(t).alias(n), F.col("zone").alias(f"zone_{n}"), F.row_number().over(Window.orderBy(t)).alias("k"))
+    pairs = number(left, "l").join(number(right, "r"), "k")  # two series of times, in one order each
+    gap = F.col("r") - F.col("l")
+    one = pairs.agg(F.min(gap).alias("low"), F.max(gap).alias("high"), F.max("zone_l").alias("zl"), F.max("zone_r").alias("zr"), F.max("r").alias("re"), F.min("r").alias("rs"), F.max("l").alias("le"), F.min("l").alias("ls"))
+    constant = (F.col("low") == F.col("high")) & (F.col("low") != 0)
+    covered = (F.least("re", "le") - F.greatest("rs", "ls")) / F.nullif(F.least(F.col("re") - F.col("rs"), F.col("le") - F.col("ls")), F.lit(0))
+    found = [(constant, "constant_offset", "low"), (constant & (F.col("low") % QUARTER == 0), "suspected_clock_shift", "low"), (F.col("zl") != F.col("zr"), "declared_timezone_mismatch", "low"), (F.coalesce(covered < COVERED, F.lit(False)), "low_coverage", "low")]
+    rows = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(name).alias("finding"), F.col(v).cast("double").alias("seconds"))) for c, name, v in found]))
+    return one.select(F.explode(rows).alias("f")).select("f.*")
+
+
 def adjacent(df: DataFrame, key: Sequence[str], threshold: str, ties: Sequence[str], value: str) -> DataFrame:
     """Neighbours by threshold inside a key, where it strictly rises: is value_high <= value_low?"""
     w = Window.partitionBy(*key).orderBy(threshold, *ties)

@@ -150,3 +150,13 @@ def voi_rank(open_items: DataFrame, history: DataFrame, costs: DataFrame, prior:
     score = F.round(F.col("gain") / F.greatest("cost", F.lit(LEAST_COST)) * bonus, 4)
     out = gain.join(costs, "tool").crossJoin(most).select("tool", "priors", "gain", score.alias("score"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "tool")))  # one row per tool
+
+
+def correlation_drift(df: DataFrame, proxy: str, t: str, v: str) -> DataFrame:
+    """Correlation of every two proxies in the early and the late half of their history, and the change."""
+    h = df.withColumn("_half", F.ntile(2).over(Window.partitionBy(proxy).orderBy(t)))
+    a = h.select(t, "_half", F.col(proxy).alias("left_proxy"), F.col(v).alias("_x"))
+    b = h.select(t, F.col(proxy).alias("right_proxy"), F.col(v).alias("_y"))
+    half = lambda n: F.corr(F.when(F.col("_half") == n, F.col("_x")), F.when(F.col("_half") == n, F.col("_y")))
+    r = a.join(b, t).where("left_proxy < right_proxy").groupBy("left_proxy", "right_proxy").agg(half(1).alias("early"), half(2).alias("late"))
+    return r.withColumn("drift", F.col("late") - F.col("early"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import compile_expression
 from ..functions.units import UNITS, convert, parse_dimension, spell, unit_definitions
+from ..operators import estimation as E
+from ..operators.calibration import uniform
 from ..operators.joins import normalize_name as normal
 from ..operators.ordered import lagged
 from ..operators.records import scene_frames
@@ -152,17 +154,14 @@ def shrinkage_calibrator(t):
 SELECT k, round(a, 6) AS load, CAST(c AS INTEGER) AS servers, round(x, 8) AS erlang_b, round(x / (1 - a / c * (1 - x)), 8) AS erlang_c FROM b WHERE i = c""",
 )
 def erlang(t):
-    r = t.nation.select(F.col("n_nationkey").alias("k"), (1 + F.col("n_nationkey") % 5 * 0.7).alias("load"), (4 + F.col("n_nationkey") % 3).alias("servers"))
-    b = F.aggregate(F.sequence(F.lit(1), F.col("servers")), F.lit(1.0), lambda x, i: F.col("load") * x / (i + F.col("load") * x))
-    r = r.withColumn("b", b)
-    c = F.col("b") / (1 - F.col("load") / F.col("servers") * (1 - F.col("b")))
-    return r.select("k", r6(F.col("load")).alias("load"), "servers", F.round("b", 8).alias("erlang_b"), F.round(c, 8).alias("erlang_c"))
+    k = F.col("n_nationkey")
+    load, servers = 1 + k % 5 * 0.7, (4 + k % 3).cast("int")
+    return t.nation.select(k.alias("k"), r6(load).alias("load"), servers.alias("servers"), F.round(E.erlang_b(load, servers), 8).alias("erlang_b"), F.round(E.erlang_c(load, servers), 8).alias("erlang_c"))
 
 
 @query("crn_uniform", "SELECT c_custkey, round(('0x' || substr(sha256('7|' || c_custkey || '|demand'), 1, 12))::BIGINT / CAST(281474976710656 AS DOUBLE), 9) AS u FROM customer")
 def crn_uniform(t):
-    h = F.sha2(F.concat_ws("|", F.lit("7"), F.col("c_custkey").cast("string"), F.lit("demand")), 256)
-    return t.customer.select("c_custkey", F.round(F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(1 << 48), 9).alias("u"))
+    return t.customer.select("c_custkey", F.round(uniform("7", F.col("c_custkey"), "demand"), 9).alias("u"))
 
 
 @query(
@@ -203,9 +202,9 @@ def json_props(t):
 
 @query("normal_equations", "SELECT count(*) AS n, round(sum(l_quantity), 2) AS sx, round(sum(l_tax), 4) AS sz, round(sum(l_quantity * l_quantity), 2) AS sxx, round(sum(l_quantity * l_tax), 4) AS sxz, round(sum(l_tax * l_tax), 6) AS szz, round(sum(l_quantity * l_discount), 4) AS sxy, round(sum(l_tax * l_discount), 6) AS szy FROM lineitem")
 def normal_equations(t):
-    x, z, y = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
-    s = lambda c, n, k: F.round(F.sum(c), k).alias(n)
-    return t.lineitem.agg(F.count("*").alias("n"), s(x, "sx", 2), s(z, "sz", 4), s(x * x, "sxx", 2), s(x * z, "sxz", 4), s(z * z, "szz", 6), s(x * y, "sxy", 4), s(z * y, "szy", 6))
+    gram, b, _, n = E.moments(t.lineitem, ["l_quantity", "l_tax"], "l_discount")
+    row = (n, round(gram[0, 1], 2), round(gram[0, 2], 4), round(gram[1, 1], 2), round(gram[1, 2], 4), round(gram[2, 2], 6), round(b[1], 4), round(b[2], 6))
+    return t.spark.createDataFrame([tuple([row[0], *map(float, row[1:])])], "n long, sx double, sz double, sxx double, sxz double, szz double, sxy double, szy double")
 
 
 @query(
@@ -220,8 +219,8 @@ def scene_frames_query(t):
 
 @query("linear_fit", "SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM lineitem GROUP BY 1")
 def linear_fit(t):
-    y, x = "l_extendedprice", "l_quantity"
-    return t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"), F.round(F.regr_r2(y, x), 8).alias("r2"))
+    out = E.linear_fit(t.lineitem, "l_returnflag", "l_quantity", "l_extendedprice")
+    return rounded(rounded(out, "slope", "intercept", places=4), "r2", places=8)
 
 
 @query(
@@ -246,8 +245,9 @@ def sobol_estimator(t):
 
 @query("poly_library", "SELECT p_partkey, CAST(1 AS DOUBLE) AS one, CAST(p_size AS DOUBLE) AS x, round(p_retailprice / 1000, 6) AS y, CAST(p_size * p_size AS DOUBLE) AS x2, round(p_size * p_retailprice / 1000, 6) AS xy, round(pow(p_retailprice / 1000, 2), 6) AS y2, round(sin(p_size), 6) AS sin_x FROM part")
 def poly_library(t):
-    x, y = F.col("p_size").cast("double"), F.col("p_retailprice") / 1000
-    return rounded(t.part.select("p_partkey", F.lit(1.0).alias("one"), x.alias("x"), y.alias("y"), (x * x).alias("x2"), (x * y).alias("xy"), (y * y).alias("y2"), F.sin(x).alias("sin_x")), "y", "xy", "y2", "sin_x")
+    terms = E.power_terms({"x": F.col("p_size").cast("double"), "y": F.col("p_retailprice") / 1000}, 2, trig=True)
+    names = {"one": "one", "x": "x", "y": "y", "x*x": "x2", "x*y": "xy", "y*y": "y2", "sin(x)": "sin_x"}
+    return rounded(t.part.select("p_partkey", *[terms[k].alias(n) for k, n in names.items()]), "y", "xy", "y2", "sin_x")
 
 
 @query(
@@ -256,14 +256,7 @@ def poly_library(t):
 s AS (SELECT CASE WHEN p_size < a OR p_size > z OR p_retailprice < c OR p_retailprice > d THEN 'extrapolation' WHEN p_size < a + CAST(0.05 AS DOUBLE) * (z - a) OR p_size > z - CAST(0.05 AS DOUBLE) * (z - a) OR p_retailprice < c + CAST(0.05 AS DOUBLE) * (d - c) OR p_retailprice > d - CAST(0.05 AS DOUBLE) * (d - c) THEN 'boundary' ELSE 'interior' END AS support FROM part, b) SELECT support, count(*) AS n FROM s GROUP BY 1""",
 )
 def support_box(t):
-    x, y = "p_size", "p_retailprice"
-    box = t.part.where("p_type = 'ECONOMY'").agg(F.min(x).alias("a"), F.max(x).alias("z"), F.min(y).alias("c"), F.max(y).alias("d"))  # one row
-    out, edge = F.lit(False), F.lit(False)
-    for v, lo, hi in ((x, "a", "z"), (y, "c", "d")):
-        m = 0.05 * (F.col(hi) - F.col(lo))
-        out = out | (F.col(v) < F.col(lo)) | (F.col(v) > F.col(hi))
-        edge = edge | (F.col(v) < F.col(lo) + m) | (F.col(v) > F.col(hi) - m)
-    return t.part.crossJoin(box).groupBy(F.when(out, "extrapolation").when(edge, "boundary").otherwise("interior").alias("support")).agg(F.count("*").alias("n"))
+    return E.support(t.part, t.part.where("p_type = 'ECONOMY'"), ["p_size", "p_retailprice"]).groupBy("support").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
-from ..operators.ordered import lagged
 from ..session import day, epoch, r6
 from .base import query
 
@@ -82,16 +81,15 @@ FROM p JOIN m ON m.series = p.series AND m.k = 1 CROSS JOIN w""",
 )
 def align_time(t):
     e = t.events.select(F.col("event_type").alias("series"), F.floor(epoch("ts")).alias("t"), "event_id")
-    s = lagged(e, ["series"], "t", ["event_id"], {"before": "t"}).withColumn("step", F.col("t") - F.col("before"))
-    modal = s.where("step > 0").groupBy("series", "step").agg(F.struct((-F.count("*")).alias("n"), F.min("t").alias("t")).alias("o")).groupBy("series").agg(F.min_by("step", "o").alias("modal_step"))
-    p = s.groupBy("series").agg(
-        F.count("*").alias("n"), F.min("t").alias("start_at"), F.max("t").alias("end_at"), (F.max("t") - F.min("t")).alias("span"),
-        F.countDistinct(F.when(F.col("step") > 0, F.col("step"))).alias("n_steps"), F.count_if(F.col("step") == 0).alias("duplicate_times"),
-    )
-    shared = p.agg(F.max("start_at").alias("a"), F.min("end_at").alias("b"))  # one row
-    verdict = F.when(F.col("b") < F.col("a"), "blocked").when(F.col("n_steps") == 1, "aligned_as_declared").otherwise("resample_required")
-    out = p.join(modal, "series").crossJoin(shared)
-    return out.select(*p.columns, "modal_step", (F.col("n_steps") == 1).alias("regular"), r6(F.greatest(F.lit(0), F.col("b") - F.col("a")) / F.col("span")).alias("coverage"), verdict.alias("verdict"))
+    out = J.align_time(e, "series", "t", ["event_id"])
+    return out.withColumn("coverage", r6(F.col("coverage")))
+
+
+@query("clock_shift", "SELECT unnest(['constant_offset', 'suspected_clock_shift', 'declared_timezone_mismatch', 'low_coverage']) AS finding, CAST(19800 AS DOUBLE) AS seconds FROM (SELECT 1) WHERE (SELECT count(*) FROM orders) > 0")
+def clock_shift(t):
+    """The first hours of order days, once in UTC and once labelled five and a half hours ahead."""
+    h = t.orders.select((F.unix_date(F.col("o_orderdate").cast("date")) * 3600).alias("t")).distinct().orderBy("t").limit(100)
+    return J.clock_findings(h.withColumn("zone", F.lit(0)), h.select((F.col("t") + 19800).alias("t"), F.lit(19800).alias("zone")))
 
 
 @query(

@@ -171,10 +171,7 @@ SELECT left_proxy, right_proxy, round(max(CASE WHEN half = 1 THEN r END), 6) AS
 )
 def correlation_drift(t):
     d = t.events.groupBy(day("ts").alias("t"), F.col("event_type").alias("k")).agg(F.sum("value").alias("v"))
-    h = d.withColumn("half", F.ntile(2).over(Window.partitionBy("k").orderBy("t")))
-    a, b = h.select("t", "half", F.col("k").alias("left_proxy"), F.col("v").alias("x")), h.select("t", F.col("k").alias("right_proxy"), F.col("v").alias("y"))
-    r = a.join(b, "t").where("left_proxy < right_proxy").groupBy("left_proxy", "right_proxy").agg(*[F.corr(F.when(F.col("half") == n, F.col("x")), F.when(F.col("half") == n, F.col("y"))).alias(c) for n, c in ((1, "early"), (2, "late"))])
-    return rounded(r.withColumn("drift", F.col("late") - F.col("early")), "early", "late", "drift")
+    return rounded(S.correlation_drift(d, "k", "t", "v"), "early", "late", "drift")
 
 
 @query("severity_mass", "WITH d AS (SELECT DISTINCT o_custkey, o_orderpriority, o_orderstatus FROM orders), w AS (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 2 ELSE 1 END AS s FROM d) SELECT o_orderpriority AS kind, count(*) AS n, CAST(sum(s) AS BIGINT) AS mass, CAST(max(s) AS INTEGER) AS severity FROM w WHERE o_orderstatus <> 'F' GROUP BY 1")

@@ -146,7 +146,7 @@ def test_expressions(spark):
 
 
 def test_units(spark):
-    df = spark.createDataFrame([(212.0, "F", "C"), (1.0, "km", "m"), (1.0, "kg", "m"), (5.0, "?", "m")], "v double, u string, t string")
+    df = spark.createDataFrame([(212.0, "degF", "degC"), (1.0, "km", "m"), (1.0, "kg", "m"), (5.0, "?", "m")], "v double, u string, t string")
     got = [r.converted for r in convert(df, "v", "u", "t").orderBy("u").collect()]
     assert got[0] is None and got[1] == pytest.approx(100.0) and got[2] is None and got[3] == 1000.0
 
