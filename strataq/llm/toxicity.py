@@ -14,11 +14,16 @@ text gathers no noise from its many words.  One classifier is fitted for
 each random half of the unlabelled sample; scores are sigmoids of the mean logit.
 
 Bounds (parameters): ``positives`` and ``unlabelled`` texts are fitted on at
-most, those of the smallest keyed hash; every text is scored whole.
-
-Cases: null and wordless texts have only the bias and score low; repeated rows
-score alike; without any confirmed toxic text every score is 0; a null doc_id is
-never used for learning and is not held out.
+most, those of the smallest keyed hash whose features take ``FIT_BYTES`` together on each
+side (texts of more than ``TEXT_BYTES`` of features are not fitted on), which is what the
+driver receives; every text is scored whole.
+
+Cases: null and wordless texts have only the bias and score low; very long texts are scored
+whole; repeated rows score alike; a repeated doc_id is one pick of the sample, with all its
+rows; ties of the keyed hash are ordered by id; a score of exactly the threshold counts as
+toxic; without any confirmed toxic text every score is 0; a null doc_id is
+never used for learning and is not held out; an empty table gives no rows; columns other
+than doc_id and text (in the labels doc_id and toxic) are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +32,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import alnum_words, fold, held_out, like_input, table
 
 POSITIVES, UNLABELLED, SEED = 1500, 4000, 17
+FIT_BYTES, TEXT_BYTES = 64 << 20, 4 << 20
 THRESHOLD = 0.5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -62,7 +68,10 @@ def training_texts(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE
     u = docs.select("doc_id").where("doc_id IS NOT NULL").where(fold() != 0).orderBy(key, "doc_id").limit(unlabelled)
     # Both sides have a fixed number of rows, so the broadcast is bounded.
     picked = p.select("doc_id", F.lit(1).alias("side")).unionByName(u.select("doc_id", F.lit(0).alias("side")))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(_word_sets, "doc_id long, side int, words binary").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(_word_sets, "doc_id long, side int, words binary")
+    own = F.octet_length("words")
+    so_far = F.sum(own).over(Window.partitionBy("side").orderBy(key, "doc_id"))  # some thousand rows
+    rows = rows.where(own <= TEXT_BYTES).withColumn("so_far", so_far).where(F.col("so_far") <= FIT_BYTES).select("doc_id", "side", "words").collect()
     rows.sort(key=lambda r: (r.side, r.doc_id))
     sides: tuple[list[bytes], list[bytes]] = ([], [])
     for r in rows:
