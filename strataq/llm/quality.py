@@ -11,9 +11,16 @@ Fitted by AdaGrad over small batches on at most ``SAMPLE`` labelled texts outsid
 the held-out fold (those of the smallest keyed hash); every text is scored whole.
 Labels, lang, source and doc_id are never inputs of a score.
 
+What the driver receives of a text are at most BUCKETS + STATS indices and values of 8
+bytes together: 66 KB a text, however long it is, for ``SAMPLE`` texts at most.
+
 Cases: null and empty texts have only structure inputs and get a score as well;
-a null n_chars counts as agreeing; repeated rows score alike; without labels, or
-with labels of one class only, the score is the smoothed share of label 1.
+a very long text is scored whole; a null n_chars counts as agreeing; repeated rows score
+alike; ties of the keyed hash are ordered by id, and a score of exactly the threshold is
+label 1; without labels, or with labels of one class only, the score is the smoothed share
+of label 1; a null doc_id is not learned from and not held out; an empty table gives no
+rows; columns other than doc_id, text and n_chars (in the labels doc_id and quality) are not
+read, whatever their names.
 """
 
 from __future__ import annotations

@@ -254,6 +254,16 @@ def test_quality_held_out_accuracy(spark, documents):
     test = out[out.held_out]
     assert ((test.predicted == 1) == test.doc_id.isin(good)).mean() > 0.97
     assert quality.quality(odd(documents), quality.train(docs, labels.limit(0))).toPandas().score.between(0, 1).all()
+    machine = quality.train(docs, labels)
+    strange = quality.quality(odd(documents).withColumn("score", F.lit("clash")).withColumn("quality", F.lit(1)), machine).toPandas()
+    assert len(strange) == 9 and strange.score.between(0, 1).all() and strange[strange.doc_id == 6].score.nunique() == 1
+    assert quality.quality(documents([]), machine).count() == 0
+    for r, (text, n) in zip(out.sort_values("doc_id").itertuples(), [(x.text, x.n_chars) for x in docs.orderBy("doc_id").collect()][:30]):  # the pairs one by one
+        idx, val = quality.inputs(text, n)
+        z = machine.w0 + sum(machine.w[i] * x for i, x in zip(idx, val))
+        g = (machine.v[idx] @ machine.v[idx].T) * np.outer(val, val)
+        z += (g.sum() - np.trace(g)) / 2
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)))
 
 
 def test_toxicity_held_out_accuracy(spark, documents):
@@ -272,6 +282,12 @@ def test_toxicity_held_out_accuracy(spark, documents):
     assert kept.columns == docs.columns and abs(kept.count() - 720) <= 10
     strange = toxicity.toxicity(odd(documents), model).toPandas()
     assert len(strange) == 9 and strange.score.between(0, 1).all() and not strange.predicted.any()
+    assert toxicity.toxicity(documents([]), model).count() == 0 and toxicity.clean(documents([]), labels).count() == 0
+    clash = toxicity.toxicity(docs.withColumn("score", F.lit("x")).withColumn("toxic", F.lit(9)), toxicity.train(docs.withColumn("toxic", F.lit(9)), labels.withColumn("text", F.lit("x")))).toPandas()
+    assert clash.sort_values("doc_id").score.tolist() == out.sort_values("doc_id").score.tolist()
+    for r, text in zip(out.sort_values("doc_id").itertuples(), [x.text for x in docs.orderBy("doc_id").collect()][:40]):  # by the plain sum of weights
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(text))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)))
     assert toxicity.toxicity(odd(documents), toxicity.train(docs, labels.limit(0))).toPandas().score.max() < 0.5
 
 
@@ -422,6 +438,18 @@ def test_url_filter(spark):
     assert [r if isinstance(r, str) else None for r in out["rule"]] == ["net/", "example.net/en/", None, None, "org/fr/", None]
 
 
+def test_url_filter_in_blocks_and_odd_inputs(spark):
+    rng = random.Random(16)
+    hosts = ["a.b", "x.a.b", "b", "c.d", "y.c.d"]
+    rules = list({(f"{rng.choice(hosts)}/{rng.choice(['', 'p', 'p/', 'p/q', 'q'])}", rng.choice(["allow", "block"])) for _ in range(60)})
+    urls = [f"http://{rng.choice(['', 'z.'])}{rng.choice(hosts)}/{rng.choice(['', 'p', 'p/q/r', 'q', 'P'])}" for _ in range(80)] + [None, "", "x://" + "l" * 50_000 + ".a.b/p" + "/q" * 30_000]
+    pages = spark.createDataFrame([*enumerate(urls), (0, urls[0])], "page_id long, url string").withColumn("path", F.lit(3))
+    whole, parts = (sorted(map(tuple, url_filter.url_filter(pages, rules, "none", most).collect()), key=str) for most in (500, 7))
+    assert whole == parts and len(whole) == 84 and {x[4] for x in whole} == {"allow", "block", "none"}
+    assert url_filter.url_filter(pages.limit(0)).count() == 0 and url_filter.url_filter(pages.limit(0), rules, most=7).count() == 0
+    assert {r.verdict for r in url_filter.url_filter(pages, []).collect()} == {"allow"}
+
+
 # --- 9 PII
 
 

@@ -1,8 +1,10 @@
 """Registered queries: SQL twins, contract columns, and the pipeline's stages."""
 
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strataq.llm import decontaminate, jaccard, pii, registry, toxicity
@@ -51,3 +53,24 @@ def test_pipeline_stages(spark):
             continue
         assert set(after) == want and docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert jaccard.jaccard_components(docs).count() == len(after)
+
+
+def test_pipeline_over_odd_documents(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, and empty tables."""
+    rng = random.Random(1)
+    words = ["ba", "ke", "li", "mo", "nur", "ras", "sel", "tiv", "vog", "zum"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    one = text(60)
+    rows = [(1, None), (2, ""), (3, " \n"), (4, text(20_000)), (5, one), (6, one), (6, one), (6, text(50)), (7, one + " ba"), (None, text(30)), (None, None), (8, "write to anna.b@corp.de " + text(30))]
+    docs = spark.createDataFrame([(d, t, "en", None if d == 5 else f"s{(d or 0) % 2}", None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("node", F.lit(1)).withColumn("mix_size", F.lit("x")).withColumn("toxic", F.lit(0))
+    labels = spark.createDataFrame([(d, 1, int(d == 4)) for d in range(9)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, text(40)), (None, one[:20]), (2, None)], "item_id long, text string")
+    for name, table, n in (("whole", docs, None), ("none", docs.limit(0), 0)):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        (labels if n is None else labels.limit(0)).write.parquet(f"{folder}/labels.parquet")
+        (bench if n is None else bench.limit(0)).write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert len(out) == n if n is not None else {r.doc_id for r in out} <= {4, 5, 6, 7, 8, None} and all(r.mix_taken == r.mix_size * r.mix_copies > 0 for r in out)
+        assert not any("anna.b@corp.de" in r.text for r in out)
