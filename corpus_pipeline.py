@@ -4,12 +4,19 @@ Order: toxic documents go; of each group of near copies one stays; documents
 contaminated with benchmark passages go; personal data is replaced; what is left
 is mixed to the target weights of its sources.  All stages but the last return
 the columns of their input; the last returns them with what the mix takes.
+
+Near copies are those of operator 10: sets of four-word shingles, 85 of 100 shared.
+
+Cases: rows with a null doc_id are never near copies and stay; null and wordless texts pass
+all stages but the mix, which takes no words of them; very long texts are judged whole;
+repeated rows are judged alike and one stays; ties and further cases are those of each
+operator; extra columns are kept, but the mix's own names give way to its columns; empty
+tables give no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strataq.llm import decontaminate, jaccard, mixing, pii, toxicity
 from strataq.llm.common import Store, table
@@ -20,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.clean(docs)
+    return jaccard.clean(docs, n=4, percent=85)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
