@@ -313,3 +313,27 @@ def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 5_000_00
         yield pd.DataFrame({"node": ids[hit], "x": total[hit]})
 
     return sources.select("node").mapInPandas(step, "node long, x double").groupBy("node").agg((F.sum("x") / 2).alias("betweenness"))
+
+
+def small_world(nodes: DataFrame, key: str, n: int, near: int, rewire: float, seed: str = "31") -> DataFrame:
+    """(a, k, b): ring of nodes 0 .. n - 1, each linked to the next ``near``, ends moved with a probability, by keyed draws."""
+    from .calibration import uniform
+
+    e = nodes.select(F.col(key).cast("long").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(near))).alias("k"))
+    far = F.floor(uniform(seed, F.col("a"), F.col("k"), "to") * n)
+    return e.select("a", "k", F.when(uniform(seed, F.col("a"), F.col("k"), "move") < rewire, far).otherwise((F.col("a") + F.col("k")) % n).cast("long").alias("b"))
+
+
+def block_model(nodes: DataFrame, inside: float, between: float, seed: str = "37", most: int = 20_000) -> DataFrame:
+    """(a, b) of a stochastic block model over (node, community), by a keyed draw for every pair.
+
+    With equal probabilities this is the random graph of Erdos and Renyi.  The model itself
+    asks every pair, so it is refused beyond ``most`` nodes.
+    """
+    from .calibration import uniform
+
+    if (n := nodes.count()) > most:
+        raise ValueError(f"{n} nodes; every pair of them would be drawn")
+    x, y = nodes.select(F.col("node").alias("a"), F.col("community").alias("ca")), nodes.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+    p = F.when(F.col("ca") == F.col("cb"), inside).otherwise(between)
+    return x.join(y, F.col("a") < F.col("b")).where(uniform(seed, F.col("a"), F.col("b")) < p).select("a", "b")

@@ -9,6 +9,7 @@ from ..operators import graph as G
 from ..operators import records as R
 from ..operators.profile import numeric_columns
 from ..session import day, epoch, r6
+from ..sources.readers import catalog, csv_context
 from .base import query
 from .graphs import _P, forest
 
@@ -196,3 +197,20 @@ def state_columns(t):
     place = F.create_map(*[F.lit(x) for i, c in enumerate(_NUM) for x in (c, i)])
     numeric = numeric_columns(t.supplier.select(*_NUM)).withColumn("place", place[F.col("column_name")])
     return R.state_columns(numeric, "s_suppkey")
+
+
+@query("csv_context", "SELECT n_regionkey AS k, CAST(2 AS INTEGER) AS n_columns, CAST(count(*) AS INTEGER) AS n_rows, string_agg(n_nationkey || ';' || n_name, '|' ORDER BY n_nationkey) FILTER (WHERE i <= 5) AS shown, NULL::VARCHAR AS fault FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation) GROUP BY 1")
+def csv_context_query(t):
+    line = F.struct("n_nationkey", F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("line"))
+    files = t.nation.groupBy(F.col("n_regionkey").alias("k")).agg(F.sort_array(F.collect_list(line)).alias("r")).select("k", F.concat_ws("\n", F.lit("id,name"), F.array_join("r.line", "\n")).alias("csv"))
+    out = csv_context(files, "k", "csv")
+    return out.select("k", F.size("columns").alias("n_columns"), "n_rows", F.array_join(F.transform("sample", lambda r: F.array_join(r, ";")), "|").alias("shown"), "fault")
+
+
+@query("catalog", "SELECT r_regionkey || '' AS domain, r_name AS title, n_nationkey || '' AS use_case, n_name AS use_case_title FROM region LEFT JOIN nation ON n_regionkey = r_regionkey")
+def catalog_query(t):
+    case = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("title"))
+    cases = t.nation.groupBy("n_regionkey").agg(F.collect_list(case).alias("use_cases"))
+    domain = F.struct(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("title"), "use_cases")
+    doc = t.region.join(cases, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.to_json(F.struct(F.array(domain).alias("domains"))).alias("j"))
+    return catalog(doc, "j")

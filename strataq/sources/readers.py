@@ -121,3 +121,25 @@ def prediction_rows(rows: DataFrame) -> DataFrame:
 def current(records: DataFrame, kind: str, parent: str) -> DataFrame:
     """Records of a kind under a parent that are not stale, oldest first."""
     return records.where((F.col("kind") == kind) & (F.col("parent") == parent) & ~F.col("stale")).orderBy("created", "id")
+
+
+def csv_context(texts: DataFrame, key: str, text: str, shown: int = 5) -> DataFrame:
+    """Uploaded CSV texts: columns, number of rows and the first ``shown`` rows; a ragged row is a fault.
+
+    Plain fields only: quoted commas are read by ``strict_csv``.
+    """
+    lines = F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x: x != "")
+    cells = F.transform(lines, lambda x: F.split(x, ","))
+    width = F.size(cells[0])
+    rows = F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(1)))
+    fault = F.when(F.size(lines) < 2, "no_rows").when(F.exists(cells, lambda r: F.size(r) != width), "ragged").when(F.size(F.array_distinct(cells[0])) != width, "repeated_column")
+    return texts.select(key, cells[0].alias("columns"), (F.size(lines) - 1).alias("n_rows"), F.slice(rows, 1, shown).alias("sample"), fault.alias("fault"))
+
+
+CATALOG = "domains array<struct<id: string, title: string, use_cases: array<struct<id: string, title: string>>>>"
+
+
+def catalog(json_rows: DataFrame, text: str) -> DataFrame:
+    """Domains and their use cases, one row for each, from catalog documents."""
+    d = json_rows.select(F.explode(F.from_json(text, CATALOG)["domains"]).alias("d"))
+    return d.select(F.col("d.id").alias("domain"), F.col("d.title").alias("title"), F.explode_outer("d.use_cases").alias("u")).select("domain", "title", F.col("u.id").alias("use_case"), F.col("u.title").alias("use_case_title"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions.expressions import compile_expression
 from strataq.functions.units import expression_dimension, parse_dimension, same_dimension, spell
-from strataq.operators import archive, calibration, constraints, estimation, ordered, records, simulation, windows
+from strataq.operators import archive, calibration, causal, constraints, dynamics, estimation, ordered, records, simulation, windows
 from strataq.operators import graph as G
 from strataq.operators.joins import clock_findings, pareto
 from strataq.storage import Store
@@ -264,3 +264,61 @@ def test_records_and_clocks(spark):
     points = [(i, float(i % 7), float(i * 3 % 11)) for i in range(60)]
     front = pareto(spark.createDataFrame(points, "i long, x double, y double").repartition(6), ["i"], "x", "y")
     assert {r.i for r in front.collect()} == {i for i, x, y in points if not any(a >= x and b >= y and (a > x or b > y) for _, a, b in points)}
+
+
+def open_path(edges, x, y, given):
+    """Separation by all undirected paths and the rules at their inner nodes."""
+    given = set(given)
+    under = {n: causal.below(edges, {n}) for e in edges for n in e}
+
+    def walk(path):
+        at = path[-1]
+        if at == y:
+            yield path
+            return
+        for a, b in edges:
+            for here, there in ((a, b), (b, a)):
+                if here == at and there not in path:
+                    yield from walk([*path, there])
+
+    for path in walk([x]):
+        ok = True
+        for a, m, b in zip(path, path[1:], path[2:]):
+            collider = (a, m) in edges and (b, m) in edges
+            ok &= bool(under[m] & given) if collider else m not in given
+        if ok:
+            return True
+    return False
+
+
+def test_separation_and_adjustment():
+    rng = random.Random(6)
+    for _ in range(25):
+        names = "abcdef"
+        edges = [(x, y) for x, y in itertools.combinations(names, 2) if rng.random() < 0.4]
+        if not edges:
+            continue
+        inside = sorted({n for e in edges for n in e})
+        for x, y in itertools.combinations(inside, 2):
+            z = [n for n in inside if n not in (x, y) and rng.random() < 0.4]
+            assert causal.separated(edges, x, y, z) == (not open_path(edges, x, y, z)), (edges, x, y, z)
+    assert causal.acyclic([("a", "b"), ("b", "c")]) and not causal.acyclic([("a", "b"), ("b", "a")])
+    confounded = [("u", "x"), ("u", "y"), ("x", "y")]
+    assert causal.backdoor_sets(confounded, "x", "y", ["u"]) == [("u",)] and causal.identifiable(confounded, "x", "y", []) == ("not_identifiable", [])
+    assert causal.identifiable([("u", "x"), ("u", "y"), ("x", "m"), ("m", "y")], "x", "y", ["m"]) == ("frontdoor", ["m"])
+    assert causal.identifiable([*confounded, ("z", "x")], "x", "y", ["z"]) == ("requires_stronger_assumptions", ["z"])
+    assert ("b", "c", ("a",)) in causal.implications([("a", "b"), ("a", "c")], ["a", "b", "c"])
+
+
+def test_known_systems(spark):
+    x = [0.3]
+    for _ in range(900):
+        x.append(4 * x[-1] * (1 - x[-1]))
+    assert dynamics.rosenstein(np.array(x), horizon=6) == pytest.approx(math.log(2), abs=0.25)
+    t = np.arange(700) * 0.1
+    wave = np.sin(t) + 0.5 * np.sin(2.1 * t)
+    assert abs(dynamics.rosenstein(wave, lag=8, dimension=4, apart=40)) < 0.1
+    df = spark.createDataFrame([("w", i, float(v)) for i, v in enumerate(wave)] + [("s", 0, 1.0)], "k string, i long, v double")
+    got = {r.series: r for r in dynamics.attractor(df, "k", "i", "v").collect()}
+    assert 2 <= got["w"].dimension <= 5 and got["w"].false_share < 0.05 and got["s"].n == 1
+    assert dynamics.spectrum_class(np.array([-1 + 2j, -1 - 2j])) == ("focus", True) and dynamics.spectrum_class(np.array([1.0, -1.0])) == ("saddle", False)
