@@ -2,8 +2,10 @@
 
 Components contract the edge table: each round points every node to the least of
 itself and its neighbours, follows the pointers twice and replaces the end points
-of the edges.  Loops and repeats fall away, so the table shrinks to nothing in a
-number of rounds that grows with the logarithm of the longest path.  Counts per
+of the edges.  Loops and repeats fall away.  Where a round leaves more than half of
+the edges, as along a path in the order of its names, the next follows all pointers to
+their ends first, so the table shrinks to nothing in a number of rounds that grows with
+the logarithm of its size.  Counts per
 node are partial aggregates, so a node with many edges makes no large group;
 nothing reaches the driver but a flag, and every round is a written table.
 """
@@ -18,22 +20,38 @@ from pyspark.sql import functions as F
 from ..storage import Store
 
 
+def _to_roots(up: DataFrame, store: Store) -> DataFrame:
+    """Every node with the end of its chain of pointers, which are doubled until none moves."""
+    while True:
+        hop = up.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        new = store.put(up.join(hop, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+        still = new.where("moved").isEmpty()
+        store.drop(up)
+        up = new
+        if still:
+            return up
+
+
 def components(edges: DataFrame, store: Store) -> DataFrame:
     """(a long, b long) edges to (node, label): the least node of its component.
 
     Nodes without an edge to another node are not listed; null ends are ignored.
     """
     live = store.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    labels = None
-    while not live.isEmpty():
+    labels, left, slow = None, live.count(), False
+    while left:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = store.put(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
+        if slow:
+            up = _to_roots(up, store)
         hop = up.select(F.col("node").alias("to"), F.col("to").alias("next"))
         up2 = up.join(hop, "to").select("node", F.col("next").alias("to"))
         up2 = store.put(up2.join(hop, "to").select("node", F.col("next").alias("to")))
         a, b = up2.select(F.col("node").alias("a"), F.col("to").alias("x")), up2.select(F.col("node").alias("b"), F.col("to").alias("y"))
         old = live
         live = store.put(live.join(a, "a").join(b, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        before, left = left, live.count()
+        slow = 2 * left > before
         if labels is None:
             labels = up2.select("node", F.col("to").alias("label"))
         else:

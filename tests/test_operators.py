@@ -93,6 +93,16 @@ def test_betweenness_and_communities(spark, net):
     assert {r.node: r.x for r in G.eigenvector(e, Store(spark, "t"), rounds=8).collect()} == pytest.approx(x)
 
 
+def test_components_of_ordered_and_shuffled_paths(spark):
+    rng = random.Random(8)
+    names = rng.sample(range(10_000, 20_000), 300)
+    pairs = [(i, i + 1) for i in range(300)] + list(zip(names, names[1:])) + [(50_000 - i, 50_001 - i) for i in range(80)] + [(7, 7), (None, 3)]
+    store = Store(spark, "t")
+    got = {r.node: r.label for r in G.components(spark.createDataFrame(pairs, "a long, b long"), store).collect()}
+    assert got == {**dict.fromkeys(range(301), 0), **dict.fromkeys(names, min(names)), **dict.fromkeys(range(49_921, 50_002), 49_921)}
+    assert store.n < 60
+
+
 def test_cycles_and_topology(spark):
     edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 6), (7, 8), (8, 7), (5, 7)]
     assert {r.node for r in G.on_cycles(spark.createDataFrame(edges, "src long, dst long"), spark).collect()} == {1, 2, 3, 6, 7, 8}
