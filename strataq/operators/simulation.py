@@ -109,6 +109,16 @@ def influence(nodes: DataFrame, edges: DataFrame, steps: int, spark: SparkSessio
     return out.select("node", "step", "x")
 
 
+def ablation(nodes: DataFrame, edges: DataFrame, steps: int, spark: SparkSession, **options) -> DataFrame:
+    """(node, coupled, uncoupled, difference) after ``steps``: a run against the same without couplings.
+
+    Both runs share their noise, so the difference is what the couplings do.
+    """
+    both = ablate(edges)
+    last = [influence(nodes, both.where(F.col("scenario") == name), steps, spark, **options).where(F.col("step") == steps).select("node", F.col("x").alias(name)) for name in ("coupled", "uncoupled")]
+    return last[0].join(last[1], "node").withColumn("difference", F.col("coupled") - F.col("uncoupled"))
+
+
 def cascade(edges: DataFrame, seeds: DataFrame, spark: SparkSession, steps: int, replicates: int = 1, hazard: float = 0.1, threshold: int | None = None, seed: str = "29") -> DataFrame:
     """(replicate, node, step) of first activation on directed (src, dst) edges.
 

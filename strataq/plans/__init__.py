@@ -1,4 +1,4 @@
 """All queries on the driver's tables."""
 
-from . import archive, calibration, cases, constraints, dynamics, estimation, functions, governance, graphs, joins, quality, records, scoring, windows  # noqa: F401
+from . import archive, calibration, cases, constraints, dynamics, estimation, fitting, functions, governance, graphs, joins, quality, records, scoring, windows  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions.expressions import compile_expression
 from strataq.functions.units import expression_dimension, parse_dimension, same_dimension, spell
-from strataq.operators import archive, calibration, causal, constraints, dynamics, estimation, ordered, records, simulation, windows
+from strataq.operators import archive, calibration, causal, constraints, dynamics, estimation, fitting, ordered, records, simulation, windows
 from strataq.operators import graph as G
 from strataq.operators.joins import clock_findings, pareto
 from strataq.storage import Store
@@ -332,3 +332,20 @@ def test_known_systems(spark):
     got = {r.series: r for r in dynamics.attractor(df, "k", "i", "v").collect()}
     assert 2 <= got["w"].dimension <= 5 and got["w"].false_share < 0.05 and got["s"].n == 1
     assert dynamics.spectrum_class(np.array([-1 + 2j, -1 - 2j])) == ("focus", True) and dynamics.spectrum_class(np.array([1.0, -1.0])) == ("saddle", False)
+
+
+def test_bounded_fits_against_known_curves(spark):
+    xs = np.linspace(0, 3, 25)
+    curve = lambda p: p[0] * F.exp(-p[1] * F.col("x"))
+    rows = [("clean", float(x), 5 * math.exp(-0.8 * x), 0.5) for x in xs] + [("held", float(x), 5 * math.exp(-3.0 * x), 1.0) for x in xs] + [("clean", 1.0, None, 1.0), (None, 1.0, 9.0, 1.0)]
+    got = fitting.bounded_fits(spark.createDataFrame(rows, "g string, x double, y double, s double"), "g", curve, "y", [1.0, 0.1], [0.0, 0.0], [50.0, 2.0], "s")
+    assert set(got) == {"clean", "held"} and all(f["converged"] and f["n"] == 25 for f in got.values())
+    assert np.allclose(got["clean"]["theta_hat"], [5, 0.8], atol=1e-5) and got["clean"]["at_bound"] == [False, False]
+    basis = np.exp(-2.0 * xs)
+    best = (basis * 5 * np.exp(-3.0 * xs)).sum() / (basis**2).sum()
+    assert np.allclose(got["held"]["theta_hat"], [best, 2.0], atol=1e-5) and got["held"]["at_bound"] == [False, True]
+    stopped = fitting.bounded_fits(spark.createDataFrame(rows, "g string, x double, y double, s double"), "g", curve, "y", [1.0, 0.1], [0.0, 0.0], [50.0, 2.0], "s", rounds=1)
+    assert all(f["theta_hat"] is None and not f["converged"] for f in stopped.values())
+    assert fitting.bounded_fits(spark.createDataFrame([], "g string, x double, y double"), "g", curve, "y", [1.0, 0.1], [0.0, 0.0], [50.0, 2.0]) == {}
+    with pytest.raises(ValueError):
+        fitting.bounded_fits(spark.createDataFrame(rows, "g string, x double, y double, s double"), "g", curve, "y", [99.0, 0.1], [0.0, 0.0], [50.0, 2.0])
