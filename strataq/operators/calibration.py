@@ -163,6 +163,19 @@ def recalibrate(df: DataFrame, x: str, beta: tuple[float, float]) -> Column:
     return 1 / (1 + F.exp(-(F.lit(beta[0]) + F.lit(beta[1]) * F.col(x))))
 
 
+def shrink_to_base(train: DataFrame, p: str, y: str) -> DataFrame:
+    """One row (base, alpha): the share alpha by which forecasts move to the base rate, clipped to [0, 1].
+
+    It is the least-squares weight of the base rate against the forecast, from moments of one pass.
+    Without rows, or where every forecast is the base rate, alpha is null.
+    """
+    q, v = F.col(p), F.col(y)
+    m = train.agg(F.avg(v).alias("base"), F.avg(q).alias("_p"), F.avg(v * q).alias("_yp"), F.avg(q * q).alias("_pp"))
+    b = F.col("base")
+    share = (b * b - b * F.col("_p") - F.col("_yp") + F.col("_pp")) / F.nullif(b * b - 2 * b * F.col("_p") + F.col("_pp"), F.lit(0.0))
+    return m.select("base", F.when(share.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))).alias("alpha"))
+
+
 def separability(df: DataFrame, model: str, x: str, unit: str) -> DataFrame:
     """Every two models: AUC of ``x``, standardized difference, two-fold Gaussian accuracy.
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.calibration import shrink_to_base
 from ..operators.joins import best_lag
 from ..operators.ordered import quantiles
+from ..operators.windows import isotonic
 from ..session import day, epoch
 from .base import query
 from .joins import daily
@@ -115,3 +117,26 @@ def case_thin_quotes(t):
     y, volume = F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0), F.when(F.col("l_tax") > 0.06, None).otherwise(F.col("l_quantity"))
     out = t.lineitem.groupBy(F.col("l_returnflag").alias("category")).agg(F.count("*").alias("n"), F.avg((F.col("l_discount") * 10 - y) ** 2).alias("brier"), F.avg(age).alias("mean_age_seconds"), F.avg(F.when(volume.isNull(), 1.0).otherwise(0.0)).alias("suppressed"), F.avg(F.log(1 + age) - F.log(1 + F.coalesce(volume, F.lit(0)))).alias("thinness"))
     return rounded(rounded(out, "brier", "suppressed", "thinness"), "mean_age_seconds", places=4)
+
+
+@query(
+    "case_ladder",
+    """WITH r AS (SELECT l_suppkey AS k, l_linenumber AS t, l_discount * 10 AS p, CASE WHEN l_returnflag = 'R' THEN CAST(1 AS DOUBLE) ELSE 0 END AS y, l_shipdate < DATE '1996-01-01' AS train FROM lineitem WHERE l_discount * 10 BETWEEN 0 AND 1), b AS (SELECT avg(y) AS base FROM r WHERE train), a AS (SELECT base, least(1, greatest(0, sum((y - p) * (base - p)) / sum((base - p) * (base - p)))) AS alpha FROM r, b WHERE train GROUP BY base),
+c AS (SELECT k, t, y, p + alpha * (base - p) AS p FROM r, a WHERE NOT train), g AS (SELECT k, t, avg(p) AS raw, count(*) AS w FROM c GROUP BY 1, 2), s AS (SELECT x.k, x.t AS lo, z.t AS hi, sum(m.raw * m.w) / sum(m.w) AS m FROM g x JOIN g z ON x.k = z.k AND x.t <= z.t JOIN g m ON m.k = x.k AND m.t BETWEEN x.t AND z.t GROUP BY 1, 2, 3),
+u AS (SELECT g.k, g.t, s.hi, min(s.m) AS m FROM g JOIN s ON s.k = g.k AND s.lo <= g.t AND s.hi >= g.t GROUP BY 1, 2, 3), f AS (SELECT k, t, max(m) AS fit FROM u GROUP BY 1, 2), q AS (SELECT c.k, avg(pow(p - y, 2)) AS plain, avg(pow(fit - y, 2)) AS fitted, count(*) AS n FROM c JOIN f ON f.k = c.k AND f.t = c.t GROUP BY 1), v AS (SELECT count(*) AS violations FROM (SELECT raw, lag(raw) OVER (PARTITION BY k ORDER BY t) AS prev FROM g) WHERE raw > prev + 1e-9)
+SELECT round(base, 6) AS base, round(alpha, 6) AS alpha, round(avg(plain), 6) AS brier_calibrated, round(avg(fitted), 6) AS brier_coherent, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, max(violations) AS violations FROM q, a, v GROUP BY base, alpha""",
+)
+def case_ladder(t):
+    """Prices of a ladder of thresholds: calibrated on the early split, made coherent, scored by group.
+
+    A ladder is a supplier, a threshold a line number; a price that rises with its threshold is a violation.
+    """
+    r = t.lineitem.select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("t"), (F.col("l_discount") * 10).alias("p"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"), (F.col("l_shipdate") < F.lit("1996-01-01").cast("date")).alias("train")).where("p BETWEEN 0 AND 1")
+    fit = shrink_to_base(r.where("train"), "p", "y")  # one row
+    c = r.where("NOT train").crossJoin(fit).select("k", "t", "y", (F.col("p") + F.col("alpha") * (F.col("base") - F.col("p"))).alias("p"))
+    ladder = isotonic(c, "k", "t", "p")
+    rise = (F.col("raw") > F.lag("raw").over(Window.partitionBy("k").orderBy("t")) + 1e-9).cast("int")  # one row per threshold
+    violations = ladder.select(rise.alias("v")).agg(F.coalesce(F.sum("v"), F.lit(0)).alias("violations"))
+    per = c.join(ladder.select("k", "t", "fit"), ["k", "t"]).groupBy("k").agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("plain"), F.avg((F.col("fit") - F.col("y")) ** 2).alias("fitted"), F.count("*").alias("n"))
+    total = per.agg(F.avg("plain").alias("brier_calibrated"), F.avg("fitted").alias("brier_coherent"), F.count("*").alias("n_groups"), F.sum("n").alias("n_rows"))
+    return rounded(fit.crossJoin(total).crossJoin(violations), "base", "alpha", "brier_calibrated", "brier_coherent")
