@@ -7,6 +7,9 @@ with equal sets are one *node*.  Two nodes link if ``100 * |A & B|`` is at least
 1. All n-grams are put into one global order, rare ones first.  How common one is
    comes from counts over all documents; only n-grams that repeat inside a task
    are counted, and at most ``COMMON`` of them are broadcast, the most frequent.
+   The others, far more in a large table, are ordered by their words: the sum of the
+   logarithms of how often these occur (at most ``WORDS`` counts are broadcast), so
+   that n-grams of frequent words, which texts share by chance, come late.
    Any order is right: it decides the work, not the result.
 2. Nodes that can link share an n-gram among the first ``|A| - ceil(t|A|) + 1``
    of each in that order.  Owners of one n-gram are sorted by size.  Up to
@@ -17,6 +20,10 @@ with equal sets are one *node*.  Two nodes link if ``100 * |A & B|`` is at least
    their sizes are compatible, so compatible owners always end up connected.
    The connected parts are the *clusters* of candidates.  An n-gram with very
    many owners is dealt out in parts that are linked among each other.
+   Chains through n-grams that texts share by chance can connect much of a large table.
+   So nodes of clusters beyond ``UNIT`` n-grams get new prefixes, in an order in which the
+   n-grams that had more than ``PAIRS`` owners come last, and new clusters inside the old
+   ones, at most ``ROUNDS`` times; a group of near copies stays as it is.
 3. Clusters of at most ``UNIT`` n-grams share units of about that size.  A larger one is
    worked on in two rounds.  First every block of half a unit is joined with itself and with
    a fixed share of the cluster of at most about that size, the *pivots*: what is shipped is
@@ -62,10 +69,12 @@ from .common import Store, spaced_words, table
 
 N, PERCENT = 4, 85
 COMMON = 1 << 19  # n-grams whose frequency class is broadcast: 9 bytes each
+WORDS = 1 << 18  # words whose frequency class is broadcast, the same
 CHUNK = 1 << 21  # n-grams counted together inside a task
 UNIT = 400_000  # n-grams of one unit of work
 HOT, PART = 1024, 512  # owners of an n-gram above which it is dealt out, and of one part
 PAIRS = 32  # owners of an n-gram that are paired; more are chained
+ROUNDS = 3  # times that large clusters are taken apart by a better order
 BROADCAST = 200_000  # rows of up to 40 bytes that say where a set is needed; more are joined by shuffle
 GONE = SEATS = 2_000_000  # ids, and (id, set) pairs, that are broadcast: 8 and 16 bytes each; more are joined by shuffle
 SEEN = 1 << 17  # names of sets that a task remembers in order not to repeat their n-grams
@@ -91,17 +100,22 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def ngrams(text: str | None, n: int = N) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles of a text."""
+def _windows(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the n-word shingles of a text, in its order, and of its words."""
     words = spaced_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    if not words:
+        return h, h
     k = min(n, len(words))
     x = np.full(len(words) - k + 1, 0x9E3779B97F4A7C15 * k % 2**64, np.uint64)
     for i in range(k):
         x = _mix(x + h[i : len(h) - k + 1 + i])
-    return np.unique(x)
+    return x, h
+
+
+def ngrams(text: str | None, n: int = N) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the n-word shingles of a text."""
+    return np.unique(_windows(text, n)[0])
 
 
 def set_id(grams: np.ndarray) -> int:
@@ -111,47 +125,65 @@ def set_id(grams: np.ndarray) -> int:
 
 def _counted(n: int):
     def step(batches):
-        chunk, size, seen = [], 0, set()
+        chunk, words, size, seen = [], [], 0, set()
         for pdf in batches:
             for text in pdf.text:
-                g = ngrams(text, n)
+                x, h = _windows(text, n)
+                g = np.unique(x)
                 if len(g) and (name := set_id(g)) not in seen:
                     seen.add(name)
                     chunk.append(g)
+                    words.append(h)
                     size += len(g)
             if size >= CHUNK:
-                yield from _repeats(chunk)
-                chunk, size, seen = [], 0, set()
-        yield from _repeats(chunk)
+                yield from _repeats(chunk, False)
+                yield from _repeats(words, True)
+                chunk, words, size, seen = [], [], 0, set()
+        yield from _repeats(chunk, False)
+        yield from _repeats(words, True)
 
     return step
 
 
-def _repeats(chunk):
+def _repeats(chunk, word: bool):
     if chunk:
         gram, count = np.unique(np.concatenate(chunk), return_counts=True)
         keep = count > 1
         gram, count = gram[keep].astype(np.int64), count[keep]
         for at in range(0, len(gram), 1 << 16):
-            yield pd.DataFrame({"gram": gram[at : at + (1 << 16)], "k": count[at : at + (1 << 16)].astype(np.int64)})
+            yield pd.DataFrame({"word": word, "gram": gram[at : at + (1 << 16)], "k": count[at : at + (1 << 16)].astype(np.int64)})
 
 
-def common_ngrams(docs: DataFrame, store: Store, n: int = N, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams, ascending, and their class 4 * log2(count)."""
-    level = F.least(F.floor(F.log2("k") * 4), F.lit(255)).cast("int")
-    counts = store.put(docs.select("text").mapInPandas(_counted(n), "gram long, k long").groupBy("gram").agg(F.sum("k").alias("k")).select("gram", level.alias("level")))
+def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     least, total = 256, 0
     for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # 256 rows at most
         if total + row["count"] > most:
             break
         least, total = row["level"], total + row["count"]
-    got = counts.where(F.col("level") >= least).toArrow()
+    got = counts.where(F.col("level") >= least).select("gram", "level").toArrow()
     gram = got["gram"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(gram)
-    store.drop(counts)
     return gram[order], got["level"].to_numpy().astype(np.uint8)[order]
 
 
+def common_ngrams(docs: DataFrame, store: Store, n: int = N, most: int = COMMON, words: int = WORDS) -> tuple[np.ndarray, ...]:
+    """The most frequent n-grams, ascending, and their class 4 * log2(count); the same of words."""
+    level = F.least(F.floor(F.log2("k") * 4), F.lit(255)).cast("int")
+    found = docs.select("text").mapInPandas(_counted(n), "word boolean, gram long, k long")
+    counts = store.put(found.groupBy("word", "gram").agg(F.sum("k").alias("k")).select("word", "gram", level.alias("level")))
+    out = *_frequent(counts.where("NOT word"), most), *_frequent(counts.where("word"), words)
+    store.drop(counts)
+    return out
+
+
+def _classes(names: np.ndarray, known: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Class of each name, 0 of one that is not known."""
+    if not len(known):
+        return np.zeros(len(names), np.uint8)
+    at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+    return np.where(known[at] == names, level[at], 0).astype(np.uint8)
+
+
 def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - -(-percent * size // 100) + 1
 
@@ -175,12 +207,13 @@ def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int = PERCENT) -> bo
 
 def _prefixes(shared, n: int, percent: int):
     def step(batches):
-        gram, level = (np.frombuffer(x, t) for x, t in zip(shared.value, (np.uint64, np.uint8)))
+        gram, level, word, often = (np.frombuffer(x, t) for x, t in zip(shared.value, (np.uint64, np.uint8) * 2))
         seen: set[int] = set()
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf.doc_id, pdf.text):
-                g = ngrams(text, n)
+                x, h = _windows(text, n)
+                g, spot = np.unique(x, return_index=True)
                 if not len(g):
                     rows.append((doc, None, 0, None, None, None, None))
                     continue
@@ -191,11 +224,10 @@ def _prefixes(shared, n: int, percent: int):
                 if len(seen) > SEEN:
                     seen.clear()
                 seen.add(name)
-                of = np.zeros(len(g), np.uint8)
-                if len(gram):
-                    at = np.minimum(np.searchsorted(gram, g), len(gram) - 1)
-                    of = np.where(gram[at] == g, level[at], 0).astype(np.uint8)
-                first = np.argsort(of, kind="stable")[: prefix_length(len(g), percent)]
+                of = _classes(g, gram, level)
+                upto = np.concatenate([[0], np.cumsum(_classes(h, word, often), dtype=np.int64)])
+                weight = (upto[len(upto) - len(x) :] - upto[: len(x)])[spot]
+                first = np.lexsort((weight, of))[: prefix_length(len(g), percent)]
                 # the order is by level, so what is dealt out in parts comes last
                 cut = int(np.searchsorted(of[first], 4 * int(math.log2(HOT))))
                 parts = (2.0 ** (of[first[cut:]] / 4.0) / PART).astype(np.int64)
@@ -525,18 +557,54 @@ def unit_links(nodes: DataFrame, docs: DataFrame, store: Store, n: int = N, perc
     return found
 
 
+def _raised(known: tuple[np.ndarray, ...], gram: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The table of common n-grams with these at their class at least."""
+    name, at = np.unique(np.concatenate([known[0], gram]), return_inverse=True)
+    top = np.zeros(len(name), np.uint8)
+    np.maximum.at(top, at, np.concatenate([known[1], level]))
+    return name, top, *known[2:]
+
+
+def taken_apart(nodes: DataFrame, named: DataFrame, owners: DataFrame, docs: DataFrame, known: tuple[np.ndarray, ...], store: Store, n: int, percent: int, most: int, unit: int) -> DataFrame:
+    """(node, doc_id, n_shingles, cluster) with clusters of more than ``unit`` n-grams split where they can be."""
+    spark, before = docs.sparkSession, None
+    for _ in range(ROUNDS):
+        big = nodes.groupBy("cluster").agg(F.sum("n_shingles").alias("weight")).where(F.col("weight") > unit)
+        large = store.put(nodes.join(big.select("cluster"), "cluster"))
+        size = large.agg(F.count("*"), F.sum("n_shingles")).first()
+        if not size[0] or before and 10 * size[1] > 9 * before:
+            return nodes
+        before = size[1]
+        has = named.where("grams IS NOT NULL").join(large.select("node"), "node").dropDuplicates(["node"])
+        level = F.least(F.floor(F.log2("k") * 4), F.lit(255)).cast("int").alias("level")
+        many = has.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") > PAIRS)
+        many = store.put(many.select("gram", level))
+        known = _raised(known, *_frequent(many, most))
+        shared = spark.sparkContext.broadcast(tuple(x.tobytes() for x in known))
+        seats = large.select("doc_id")
+        side = F.broadcast(seats) if size[0] <= SEATS else seats.hint("shuffle_hash")
+        named = store.put(docs.join(side, "doc_id").select("doc_id", "text").mapInPandas(_prefixes(shared, n, percent), NAMED))
+        own = store.put(owners.join(large.select("node"), "node"))
+        parts = components(candidates(named, own, store, percent), store)
+        split = large.drop("cluster").join(parts.select("node", F.col("label").alias("cluster")), "node")
+        nodes = store.put(nodes.join(big.select("cluster"), "cluster", "left_anti").unionByName(split))
+        shared.destroy()
+    return nodes
+
+
 def jaccard_nodes(docs: DataFrame, store: Store, n: int = N, percent: int = PERCENT, common: int = COMMON, unit: int = UNIT) -> tuple[DataFrame, DataFrame]:
     """Written tables (doc_id, node, n_shingles) of all rows and (node, component_id) of all nodes."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     work = store.part("work")
-    gram, level = common_ngrams(docs, work, n, common)
-    shared = spark.sparkContext.broadcast((gram.tobytes(), level.tobytes()))
+    known = common_ngrams(docs, work, n, common)
+    shared = spark.sparkContext.broadcast(tuple(x.tobytes() for x in known))
     named = work.put(docs.mapInPandas(_prefixes(shared, n, percent), NAMED))
     owners = work.put(named.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")))
     clusters = components(candidates(named, owners, work, percent), work)
     rows = store.put(named.select("doc_id", "node", "n_shingles"))
-    work.drop(named)
     nodes = work.put(owners.drop("sketch").join(clusters.select("node", F.col("label").alias("cluster")), "node"))
+    nodes = taken_apart(nodes, named, owners, docs, known, work, n, percent, common, unit)
+    work.drop(named)
     label = components(unit_links(nodes, docs, work, n, percent, unit), work)
     own = owners.select("node", F.col("doc_id").alias("own"))
     label = work.put(label.join(own, "node"))

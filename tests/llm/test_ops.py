@@ -577,6 +577,31 @@ def test_jaccard_deals_out_hot_ngrams(documents, monkeypatch):
     assert sorted(tuple(r) for r in out.collect()) == slow_components(rows)
 
 
+@pytest.mark.parametrize("by_words", [True, False])
+def test_jaccard_takes_clusters_of_chance_apart(documents, monkeypatch, by_words):
+    rng = random.Random(8)
+    phrases = [f"the of and in{i} to a" for i in range(10)]
+    rows = []
+    for i in range(240):
+        own = " ".join(f"w{rng.randrange(10**9)}" for _ in range(rng.randint(36, 40)))
+        rows.append((i, f"{phrases[i % 10]} {own} {phrases[(i + i // 10) % 10]}"))
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 240, 9)]
+    weights, links, counts = [], jaccard.unit_links, jaccard.common_ngrams
+    monkeypatch.setattr(jaccard, "unit_links", lambda nodes, *a: weights.extend(r[0] for r in nodes.groupBy("cluster").agg(F.sum("n_shingles")).select("sum(n_shingles)").collect()) or links(nodes, *a))
+    if not by_words:  # the first order knows nothing: chains through the phrases connect the table
+        monkeypatch.setattr(jaccard, "common_ngrams", lambda *a: tuple(x[:0] for x in counts(*a)))
+    out = jaccard.jaccard_components(documents(rows).repartition(3), common=0 if by_words else 5000, unit=400)
+    assert sorted(tuple(r) for r in out.collect()) == slow_components(rows)
+    assert len(weights) >= 27 and max(weights) <= 400
+
+
+def test_jaccard_is_exact_where_small_groups_are_chained(documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS", 2)
+    rows = copies_case(200, 9)
+    out = jaccard.jaccard_components(documents(rows).repartition(3), unit=300)
+    assert sorted(tuple(r) for r in out.collect()) == slow_components(rows)
+
+
 def test_jaccard_odd_inputs(documents):
     out = jaccard.jaccard_components(odd(documents)).toPandas()
     got = {(None if d != d else int(d), n): c for d, n, c in zip(out.doc_id, out.n_shingles, out.component_id)}
