@@ -178,18 +178,35 @@ def best_lag(series: DataFrame, base: str, lags: range = range(-5, 6), least: in
     return m.withColumn("k", F.row_number().over(w)).where("k = 1").select("series", "lag", "n", "r")
 
 
-def interpolate(series: DataFrame, at: DataFrame, key: Sequence[str]) -> DataFrame:
+def interpolate(series: DataFrame, at: DataFrame, key: Sequence[str], bucket: float | None = None) -> DataFrame:
     """(key, t, v) looked up at (key, t, id): linear between neighbours, clamped at the ends.
 
-    One union and two window fills per key: no range join.
+    One union and two window fills per key, both from the start of a window in its own direction
+    (a frame up to the end of a window is computed anew for every row): no range join.  For few
+    keys with many rows, ``bucket`` cuts keys into windows of so many units of ``t``; the points
+    around a bucket come from one row per bucket.
     """
     rows = series.select(*key, "t", "v", F.lit(None).cast("long").alias("id")).unionByName(at.select(*key, "t", F.lit(None).cast("double").alias("v"), "id"))
     point = F.when(F.col("v").isNotNull(), F.struct("t", "v"))
-    w = Window.partitionBy(*key).orderBy("t", F.col("v").isNull(), "v", "id")
-    rows = rows.withColumns({"p": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "q": F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    cut = [*key, "_bucket"] if bucket else [*key]
+    if bucket:
+        rows = rows.withColumn("_bucket", F.coalesce(F.floor(F.col("t") / bucket), F.lit(2**62)))  # rows without a time come last
+    null = F.col("v").isNull()
+    ahead = Window.partitionBy(*cut).orderBy(F.asc_nulls_last("t"), null, "v", "id")
+    back = Window.partitionBy(*cut).orderBy(F.desc_nulls_first("t"), null.desc(), F.desc("v"), F.desc("id"))
+    upto = (Window.unboundedPreceding, 0)
+    found = rows.withColumns({"p": F.last(point, True).over(ahead.rowsBetween(*upto)), "q": F.last(point, True).over(back.rowsBetween(*upto))}).where("id IS NOT NULL")
+    if bucket:
+        order = F.struct(F.col("t").isNull().alias("last"), "t", "v")
+        held = rows.groupBy(*cut).agg(F.max_by(point, F.when(~null, order)).alias("_p"), F.min_by(point, F.when(~null, order)).alias("_q"))  # one row per bucket
+        w, before = Window.partitionBy(*key), (Window.unboundedPreceding, -1)
+        p, q = F.last("_p", True).over(w.orderBy("_bucket").rowsBetween(*before)), F.last("_q", True).over(w.orderBy(F.desc("_bucket")).rowsBetween(*before))
+        held = held.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cut)], p.alias("_p"), q.alias("_q"))
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cut)])
+        found = found.join(held, same).withColumns({"p": F.coalesce("p", "_p"), "q": F.coalesce("q", "_q")})
     slope = (F.col("q.v") - F.col("p.v")) / F.nullif(F.col("q.t") - F.col("p.t"), F.lit(0.0))
     y = F.coalesce(F.col("p.v") + slope * (F.col("t") - F.col("p.t")), F.col("p.v"), F.col("q.v"))
-    return rows.where("id IS NOT NULL").select(*key, "id", "t", y.alias("y"))
+    return found.select(*key, "id", "t", y.alias("y"))
 
 
 def pareto(df: DataFrame, keep: Sequence[str], x: str, y: str) -> DataFrame:

@@ -226,7 +226,7 @@ def resample_linear(t):
     series = t.events.select("event_type", epoch("ts").alias("t"), F.col("value").alias("v"))
     ends = t.events.groupBy("event_type").agg(day(F.min("ts")).alias("a"), day(F.max("ts")).alias("b"))
     grid = ends.select("event_type", F.explode(F.sequence("a", "b")).alias("id")).withColumn("t", (F.col("id") * 86400).cast("double"))
-    return J.interpolate(series, grid, ["event_type"]).select("event_type", "id", (F.round("y", 4) + 0.0).alias("y"))
+    return J.interpolate(series, grid, ["event_type"], bucket=3600.0).select("event_type", "id", (F.round("y", 4) + 0.0).alias("y"))
 
 
 _FKS = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("orders", "o_orderkey", "lineitem", "l_orderkey"), ("labels", "doc_id", "documents", "doc_id"), ("documents", "doc_id", "labels", "doc_id")]

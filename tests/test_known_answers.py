@@ -97,6 +97,28 @@ def test_interpolation_clamps_and_resamples(spark):
     assert {r.id: r.y for r in J.interpolate(s, at, ["k"]).collect()} == {1: 0.0, 2: 5.0, 3: 20.0, 4: 20.0, 5: None}
 
 
+def test_interpolate_in_buckets_equals_plain_search(spark, capsys):
+    rng = np.random.default_rng(5)
+    points = [(k, float(t), None if i % 9 == 0 else float(v)) for k in ("a", "b", None) for i, (t, v) in enumerate(zip(rng.integers(0, 400, 40) ** 2 / 4, rng.normal(size=40)))]
+    points += [("a", None, 7.0), ("c", 5.0, None)]
+    spots = [(k, float(t), i) for i, (k, t) in enumerate((k, t) for k in ("a", "b", "c", None) for t in range(-500, 41000, 977))]
+    want = {}
+    for k, t, i in spots:
+        held = sorted((a, v) for x, a, v in points if x == k and a is not None and v is not None)
+        p, q = [x for x in held if x[0] <= t], [x for x in held if x[0] > t]
+        late = [(a, v) for x, a, v in points if x == k and a is None and v is not None]
+        if p and q:
+            want[i] = p[-1][1] + (q[0][1] - p[-1][1]) / (q[0][0] - p[-1][0]) * (t - p[-1][0])
+        else:
+            want[i] = p[-1][1] if p else q[0][1] if q else late[0][1] if late else None
+    s, at = spark.createDataFrame(points, "k string, t double, v double"), spark.createDataFrame(spots, "k string, t double, id long")
+    for bucket in (None, 100.0, 5000.0):
+        out = J.interpolate(s, at, ["k"], bucket)
+        assert {r.id: r.y for r in out.collect()} == pytest.approx(want), bucket
+        out.explain()
+        assert "unboundedfollowing" not in capsys.readouterr().out  # such a frame takes the square of the rows
+
+
 def test_mean_shift_and_isotonic():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 1, 200), rng.normal(3, 1, 200)])
