@@ -170,8 +170,11 @@ _C = "c AS (SELECT user_id, ts, event_id, value - avg(value) OVER (PARTITION BY
 
 @query("zero_crossings", f"WITH {_C}, l AS (SELECT user_id, sign(c) AS s, lag(sign(c)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM c) SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN s * p < 0 THEN 1 ELSE 0 END) AS BIGINT) AS crossings FROM l GROUP BY 1")
 def zero_crossings(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = t.events.select("user_id", "ts", "event_id", F.signum(F.col("value") - F.avg("value").over(Window.partitionBy("user_id"))).alias("s"))
+    w = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # a value may be the mean itself, so the order of the sum decides its sign: that of time, as in the files
+    e = t.events.select("user_id", "ts", "event_id", "value", F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    s = e.select("user_id", "ts", "event_id", F.signum(F.col("value") - F.last("upto").over(whole) / F.count("value").over(whole)).alias("s"))
     return s.withColumn("p", F.lag("s").over(w)).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("s") * F.col("p") < 0).alias("crossings"))
 
 

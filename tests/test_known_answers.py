@@ -119,6 +119,23 @@ def test_interpolate_in_buckets_equals_plain_search(spark, capsys):
         assert "unboundedfollowing" not in capsys.readouterr().out  # such a frame takes the square of the rows
 
 
+def test_zero_crossings_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    from strataq.plans import QUERIES, SQL
+    from .oracle import assert_same, connect
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for user in range(300):  # the mean is 0.7, one of the values: the last bits of the sum decide
+        x = rng.integers(1, 70, 20) / 100
+        for k, v in enumerate(rng.permutation([*x, *(np.round(1.4 - x, 2)), 0.7, 0.7]).tolist()):
+            rows.append((len(rows), k, user, v))
+    want = tmp_path / "a"
+    spark.createDataFrame(rows, "event_id long, k int, user_id long, value double").selectExpr("event_id", "timestamp_seconds(k) AS ts", "user_id", "value").toPandas().to_parquet(f"{tmp_path}/events.parquet", coerce_timestamps="us")
+    want.mkdir()
+    spark.read.parquet(f"{tmp_path}/events.parquet").orderBy(F.desc("event_id")).write.parquet(f"{want}/events.parquet")
+    assert_same(QUERIES["zero_crossings"](spark, str(want)), connect(str(tmp_path)), SQL["zero_crossings"])
+
+
 def test_mean_shift_and_isotonic():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 1, 200), rng.normal(3, 1, 200)])
