@@ -75,6 +75,8 @@ def test_betweenness_and_communities(spark, net):
                 want[x] += owed[x] / 2
     got = {r.node: r.betweenness for r in G.betweenness(e, spark.createDataFrame([(x,) for x in n], "node long")).collect()}
     assert got == pytest.approx({x: v for x, v in want.items() if v > 0})
+    by_levels = {r.node: r.betweenness for r in G.betweenness(e, spark.createDataFrame([(x,) for x in n], "node long"), most_edges=10).collect()}
+    assert by_levels == pytest.approx(got)
     label = {x: x for x in n}
     for _ in range(20):
         new = {}
