@@ -39,8 +39,9 @@ with equal sets are one *node*.  Two nodes link if ``100 * |A & B|`` is at least
    already.  Links found are united at once.  What is shipped to units are the n-grams
    of candidate nodes, found again by the name of the set and not by the doc_id alone.
 
-Tables that a later step needs no more are deleted; what is left behind the result is two
-narrow tables.
+Tables that a later step needs no more are deleted, and so are the shuffle files of finished
+steps; what is left behind the result is two narrow tables.  Pairs by chance grow with the
+square of the table, so sketches are brought to at most ``SLICE`` pairs at once.
 
 Cases: null and wordless texts have an empty set, link with nothing and keep
 their own id; a text of fewer than ``n`` words has its whole sequence as its one
@@ -75,6 +76,7 @@ UNIT = 400_000  # n-grams of one unit of work
 HOT, PART = 1024, 512  # owners of an n-gram above which it is dealt out, and of one part
 PAIRS = 32  # owners of an n-gram that are paired; more are chained
 ROUNDS = 3  # times that large clusters are taken apart by a better order
+SLICE = 4_000_000  # pairs that get sketches at once, some 350 bytes a pair
 BROADCAST = 200_000  # rows of up to 40 bytes that say where a set is needed; more are joined by shuffle
 GONE = SEATS = 2_000_000  # ids, and (id, set) pairs, that are broadcast: 8 and 16 bytes each; more are joined by shuffle
 SEEN = 1 << 17  # names of sets that a task remembers in order not to repeat their n-grams
@@ -333,10 +335,17 @@ def candidates(named: DataFrame, nodes: DataFrame, store: Store, percent: int =
     plain = named.where("grams IS NOT NULL").select("node", "n_shingles", F.posexplode("grams").alias("place", "gram"))
     plain = plain.select("gram", (F.shiftleft(F.col("n_shingles"), 32) + F.col("place")).alias("sized"), "node")
     found = store.put(plain.repartition("gram").sortWithinPartitions("gram", "sized", "node").mapInPandas(_owners(percent), "a long, b long, sure boolean"))
-    pairs = found.groupBy("a", "b").agg(F.bool_or("sure").alias("sure"))
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    likely = store.put(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_sketched(percent), "a long, b long"))
+    store.sweep()
+    pairs = store.put(found.groupBy("a", "b").agg(F.bool_or("sure").alias("sure")))
     store.drop(found)
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    slices, likely = max(1, -(-pairs.count() // SLICE)), []
+    for i in range(slices):
+        mine = pairs.where(F.pmod(F.xxhash64("a", F.lit("slice")), F.lit(slices)) == i) if slices > 1 else pairs
+        likely.append(store.put(mine.join(side("a"), "a").join(side("b"), "b").mapInPandas(_sketched(percent), "a long, b long")))
+        store.sweep()
+    store.drop(pairs)
+    likely = reduce(DataFrame.unionByName, likely)
     hot = named.where("size(hot) > 0").select("node", F.explode(F.arrays_zip("hot", "parts")).alias("h"))
     hot = hot.select("node", F.col("h.hot").alias("gram"), (F.pmod(F.xxhash64("node"), F.col("h.parts")) + 1).cast("int").alias("part"))
 
@@ -537,6 +546,7 @@ def unit_links(nodes: DataFrame, docs: DataFrame, store: Store, n: int = N, perc
         side = F.broadcast(work) if work.count() <= BROADCAST else work
         found = store.put(sets.join(side, "node").groupBy("unit").applyInPandas(_unit_join(percent), "a long, b long"))
         store.drop(work)
+        store.sweep()
         return found
 
     alone = F.col("node").alias("part")
@@ -566,14 +576,17 @@ def _raised(known: tuple[np.ndarray, ...], gram: np.ndarray, level: np.ndarray)
 
 
 def taken_apart(nodes: DataFrame, named: DataFrame, owners: DataFrame, docs: DataFrame, known: tuple[np.ndarray, ...], store: Store, n: int, percent: int, most: int, unit: int) -> DataFrame:
-    """(node, doc_id, n_shingles, cluster) with clusters of more than ``unit`` n-grams split where they can be."""
+    """(node, doc_id, n_shingles, cluster) with clusters of more than ``unit`` n-grams split where they can be.
+
+    Deletes ``named`` and ``nodes`` as soon as they are replaced, ``named`` in any case.
+    """
     spark, before = docs.sparkSession, None
     for _ in range(ROUNDS):
         big = nodes.groupBy("cluster").agg(F.sum("n_shingles").alias("weight")).where(F.col("weight") > unit)
         large = store.put(nodes.join(big.select("cluster"), "cluster"))
         size = large.agg(F.count("*"), F.sum("n_shingles")).first()
         if not size[0] or before and 10 * size[1] > 9 * before:
-            return nodes
+            break
         before = size[1]
         has = named.where("grams IS NOT NULL").join(large.select("node"), "node").dropDuplicates(["node"])
         level = F.least(F.floor(F.log2("k") * 4), F.lit(255)).cast("int").alias("level")
@@ -583,12 +596,17 @@ def taken_apart(nodes: DataFrame, named: DataFrame, owners: DataFrame, docs: Dat
         shared = spark.sparkContext.broadcast(tuple(x.tobytes() for x in known))
         seats = large.select("doc_id")
         side = F.broadcast(seats) if size[0] <= SEATS else seats.hint("shuffle_hash")
-        named = store.put(docs.join(side, "doc_id").select("doc_id", "text").mapInPandas(_prefixes(shared, n, percent), NAMED))
+        old, named = named, store.put(docs.join(side, "doc_id").select("doc_id", "text").mapInPandas(_prefixes(shared, n, percent), NAMED))
+        store.drop(old, many)
         own = store.put(owners.join(large.select("node"), "node"))
         parts = components(candidates(named, own, store, percent), store)
         split = large.drop("cluster").join(parts.select("node", F.col("label").alias("cluster")), "node")
-        nodes = store.put(nodes.join(big.select("cluster"), "cluster", "left_anti").unionByName(split))
+        # big and split read the old nodes, so these are dropped after the new ones are written
+        old, nodes = nodes, store.put(nodes.join(big.select("cluster"), "cluster", "left_anti").unionByName(split))
+        store.drop(old, own, large)
+        store.sweep()
         shared.destroy()
+    store.drop(named)
     return nodes
 
 
@@ -603,8 +621,8 @@ def jaccard_nodes(docs: DataFrame, store: Store, n: int = N, percent: int = PERC
     clusters = components(candidates(named, owners, work, percent), work)
     rows = store.put(named.select("doc_id", "node", "n_shingles"))
     nodes = work.put(owners.drop("sketch").join(clusters.select("node", F.col("label").alias("cluster")), "node"))
+    work.sweep()
     nodes = taken_apart(nodes, named, owners, docs, known, work, n, percent, common, unit)
-    work.drop(named)
     label = components(unit_links(nodes, docs, work, n, percent, unit), work)
     own = owners.select("node", F.col("doc_id").alias("own"))
     label = work.put(label.join(own, "node"))
@@ -613,6 +631,7 @@ def jaccard_nodes(docs: DataFrame, store: Store, n: int = N, percent: int = PERC
     label = work.put(label.join(least, "label").select("node", "least"))
     every = store.put(own.join(label, "node", "left").select("node", F.coalesce("least", "own").alias("component_id")))
     work.clear()
+    work.sweep()
     shared.destroy()
     return rows, every
 
@@ -626,19 +645,24 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 def clean(docs: DataFrame, n: int = N, **options) -> DataFrame:
     """One row, all columns, of each component: that of the least doc_id.
 
-    Texts are not moved: the ids that go are broadcast up to ``GONE`` of them (beyond, rows
-    are joined by shuffle).  Rows that repeat a doc_id are told apart by their sets: of equal
+    Texts are not moved: the ids that go are broadcast up to ``GONE`` of them, beyond that
+    those that stay (rows are joined by shuffle only where both are more).  Rows that repeat a doc_id are told apart by their sets: of equal
     sets one row stays.  Rows with a null doc_id stay, and so do wordless ones.
     """
     store = Store(docs.sparkSession, "jaccard-clean")
     rows, every = jaccard_nodes(docs, store, n, **options)
     judged = store.put(rows.where("doc_id IS NOT NULL").join(every, "node", "left").select("doc_id", "node", F.coalesce("component_id", "doc_id").alias("component_id")))
-    ids = judged.groupBy("doc_id").agg(F.count("*").alias("k"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone OR k > 1")
-    ids = store.put(ids.select("doc_id", (F.col("k") > 1).alias("again")))
+    ids = judged.groupBy("doc_id").agg(F.count("*").alias("k"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("gone"))
+    ids = store.put(ids.select("doc_id", (F.col("gone") | (F.col("k") > 1)).alias("out"), (F.col("k") > 1).alias("again")))
     store.drop(rows, every)
-    size = ids.agg(F.count("*"), F.count_if("again")).first()
-    out = ids.select("doc_id")
-    plain = docs.join(F.broadcast(out) if size[0] <= GONE else out, "doc_id", "left_anti").select(*docs.columns)
+    store.sweep()
+    size = ids.agg(F.count_if("out"), F.count_if("again"), F.count_if(~F.col("out"))).first()
+    if size[2] <= GONE < size[0]:
+        stays = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(ids.where("NOT out").select("doc_id")), "doc_id", "left_semi")
+        plain = stays.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    else:
+        out = ids.where("out").select("doc_id")
+        plain = docs.join(F.broadcast(out) if size[0] <= GONE else out, "doc_id", "left_anti").select(*docs.columns)
     if not size[1]:
         return plain
     again = ids.where("again").select("doc_id")

@@ -1,11 +1,13 @@
 """The training-data operators against brute force, round trips and odd inputs."""
 
+import gc
 import hashlib
 import itertools
 import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -624,6 +626,46 @@ def test_jaccard_repeated_ids_with_other_texts(documents):
     assert sorted(kept, key=str) == sorted([(1, a), (1, b), (5, c), (5, None), (7, d), (8, " "), (8, "")], key=str)
 
 
+def test_jaccard_brings_sketches_to_slices_and_leaves_no_shuffle_files(spark, documents, monkeypatch):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before, least, links, given = files(), [], jaccard.unit_links, []
+
+    def counted(*a):
+        until = time.time() + 10
+        while files() > before and time.time() < until:
+            time.sleep(0.2)
+        least.append(files())
+        return links(*a)
+
+    put = jaccard.Store.put
+    monkeypatch.setattr(jaccard.Store, "put", lambda self, df: given.append(df.columns) or put(self, df))
+    monkeypatch.setattr(jaccard, "unit_links", counted)
+    monkeypatch.setattr(jaccard, "SLICE", 100, raising=False)
+    rows = copies_case(200, 4)
+    out = jaccard.jaccard_components(documents(rows).repartition(3), unit=600)
+    assert least[0] <= before
+    assert given.count(["a", "b"]) > 2 and sorted(tuple(r) for r in out.collect()) == slow_components(rows)
+
+
+def test_jaccard_clean_moves_no_text_where_most_rows_go(spark, documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "GONE", 4)
+    rng = random.Random(6)
+    texts = [prose(rng, 30) for _ in range(2)]
+    rows = [(i, texts[i % 2]) for i in range(2, 14)] + [(20, ""), (None, texts[0]), (None, None)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.clean(documents(rows))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted([(2, texts[0]), (3, texts[1]), (20, ""), (None, texts[0]), (None, None)], key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_jaccard_a_large_group_of_near_copies(documents):
     """More than a unit holds: pivots link most, the second round the rest."""
     rng = random.Random(2)
